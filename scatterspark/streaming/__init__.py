@@ -1,0 +1,5 @@
+"""Streaming use of stateless operators.
+
+Kernel and distance expressions are plain Columns, so they apply to a streaming DataFrame unchanged;
+there is no separate streaming operator set.
+"""
