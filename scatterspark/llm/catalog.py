@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from scatterspark.llm import op3_packing, op9_chat
+from scatterspark.llm import op1_toxicity, op3_packing, op5_quality, op6_language, op9_chat
 
 QUERIES = {
+    "op1_counterfactual_toxicity": op1_toxicity.query,
     "op3_length_buckets": op3_packing.query,
+    "op5_attention_quality": op5_quality.query,
+    "op6_string_kernel_language": op6_language.query,
     "op9_perspective_rotation": op9_chat.query,
 }
 ORACLES = {
