@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scatterspark.llm import op1_toxicity, op2_embedding_dedup, op3_packing, op5_quality, op6_language, op7_decontaminate, op9_chat, op10_jaccard_join
+from scatterspark.llm import op1_toxicity, op2_embedding_dedup, op3_packing, op5_quality, op6_language, op7_decontaminate, op8_line_dedup, op9_chat, op10_jaccard_join
 
 QUERIES = {
     "op1_counterfactual_toxicity": op1_toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_attention_quality": op5_quality.query,
     "op6_string_kernel_language": op6_language.query,
     "op7_spaced_seeds": op7_decontaminate.query,
+    "op8_fuzzy_lines": op8_line_dedup.query,
     "op9_perspective_rotation": op9_chat.query,
     "op10_token_group_join": op10_jaccard_join.query,
 }
