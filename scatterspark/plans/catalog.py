@@ -2,25 +2,5 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from scatterspark.operators import neighbours
-from scatterspark.sources import points
-
-QUERIES = {}
-ORACLES = {}
-
-
-def knn_e64(spark, sf_dir):
-    return neighbours.knn(points.e64(spark, sf_dir), 5).withColumn("dist", F.round("dist", 6))
-
-
-QUERIES["knn_e64"] = knn_e64
-ORACLES["knn_e64"] = """
-with p as (select vec_id as id, embedding::double[] as p from embeddings),
-d as (select a.id as i, b.id as j,
-             sqrt(list_sum(list_transform(list_zip(a.p, b.p), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) as dist
-      from p a join p b on a.id <> b.id),
-r as (select i, row_number() over (partition by i order by dist, j) as rank, j, dist from d)
-select i, rank::int as rank, j, round(dist, 6) as dist from r where rank <= 5
-"""
+from scatterspark.plans import kernel_queries, neighbour_queries  # noqa: F401
+from scatterspark.plans.base import ORACLES, QUERIES  # noqa: F401
