@@ -9,9 +9,10 @@ each drop only what provably has no link at the threshold t (a link needs overla
    in another one. Then rarest-first prefixes index the rest, so passages that many documents share hardly count.
 3. Groups. Every posting list is linked to its first member only (verified exactly), and components of these links
    partition the classes into similar documents; large ones are cut into groups of about ``GROUP`` classes.
-4. Token-group matrix: (shingle, group) for the union of each group's prefixes, and each group's whole union. A class
-   and a group of another component qualify if they share a prefix shingle and if the class has ceil(t size) shingles
-   in the union; only then are the group's members opened, filtered by size and verified exactly.
+4. Token-group matrix: (shingle, component) for the union of each component's prefixes, with the most shared shingles
+   that a member has from there on, and each group's whole union. A class meets a larger component where they share a
+   prefix shingle that, as their first common one, leaves enough overlap; it qualifies for those groups of it whose
+   union holds ceil(t size) of its shingles. Only then are the members opened, filtered by size and verified exactly.
 
 Pairs inside a group are thus never spelled out, hot shingles cost one row a document, and no link is lost.
 
@@ -124,7 +125,7 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     first = prefixes(documents, percent, words).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     first = cut(first.select("rep", "n", "prefix"))
     tokens = first.select("rep", F.explode("prefix").alias("h"))
-    shared = tokens.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
+    shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")  # a class has a hash once
     counts = tokens.join(shared, "h").groupBy("rep").agg(F.count("*").alias("c"))
     least = F.greatest(F.lit(1), F.floor(SHARE * _need(F.col("n"), percent)))
     left = cut(counts.join(first.select("rep", "n"), "rep").where(F.col("c") >= least).select("rep"))
@@ -136,7 +137,8 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     common = tokens.join(df, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     common = common.where(F.size("x") >= _need(F.col("n"), percent))
     take = F.col("n") - _need(F.col("n"), percent) + 1 - (F.col("n") - F.size("x"))
-    index = cut(common.where(take > 0).select("rep", "n", F.explode(F.slice("x", 1, take.cast("int"))).alias("x")).select("rep", "n", F.col("x.h").alias("h")))
+    index = common.where(take > 0).select("rep", "n", F.size("x").alias("c"), F.posexplode(F.slice("x", 1, take.cast("int"))).alias("i", "x"))
+    index = cut(index.select("rep", "n", F.col("x.h").alias("h"), (F.col("c") - F.col("i")).alias("rest")))
 
     # 3. link every posting list to its first member; components are the groups
     heads = index.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("h", "a")
@@ -145,14 +147,18 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     component = connected_components(links).withColumnsRenamed({"node": "rep", "component": "part"})
     parts = index.select("rep", "n").distinct().join(component, "rep", "left").select("rep", "n", F.coalesce("part", "rep").alias("part"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    grouped = parts.join(sizes, "part").select("rep", "n", "part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("chunk"))
+    grouped = parts.join(sizes, "part").select("rep", "n", "part", "size", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("chunk"))
     grouped = cut(grouped)
 
     # 4. token-group matrix between different components
-    matrix = index.select("rep", "h").join(grouped.select("rep", "part", "chunk"), "rep")
-    columns = matrix.select("h", F.col("part").alias("gp"), F.col("chunk").alias("gc")).distinct()
-    queries = matrix.select(F.col("rep").alias("q"), "h", "part")
-    candidates = queries.join(columns, "h").where("part > gp").select("q", "gp", "gc").distinct()
+    matrix = index.join(grouped.select("rep", "part", "size"), "rep")
+    columns = matrix.groupBy("h", F.col("part").alias("gp"), F.col("size").alias("gs")).agg(F.max("rest").alias("grest"), F.min("n").alias("gn"))
+    queries = matrix.select(F.col("rep").alias("q"), "h", "part", "size", F.col("n").alias("qn"), "rest")
+    most = F.least("rest", "grest")  # a pair's overlap if h is its first common shingle
+    larger = (F.col("gs") > F.col("size")) | ((F.col("gs") == F.col("size")) & (F.col("gp") > F.col("part")))
+    reach = 100 * most >= percent * (F.col("qn") + F.col("gn") - most)
+    candidates = queries.join(columns, (queries["h"] == columns["h"]) & larger & reach).select("q", "gp").distinct()
+    candidates = candidates.join(grouped.select(F.col("part").alias("gp"), F.col("chunk").alias("gc")).distinct(), "gp")
     union = (
         sets.join(grouped.select("rep", "part", "chunk"), "rep")
         .groupBy(F.col("part").alias("gp"), F.col("chunk").alias("gc"))
