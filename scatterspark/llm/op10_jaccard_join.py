@@ -12,7 +12,8 @@ each drop only what provably has no link at the threshold t (a link needs overla
 4. Token-group matrix: (shingle, component) for the union of each component's prefixes, with the most shared shingles
    that a member has from there on, and each group's whole union. A class meets a larger component where they share a
    prefix shingle that, as their first common one, leaves enough overlap; it qualifies for those groups of it whose
-   union holds ceil(t size) of its shingles. Only then are the members opened, filtered by size and verified exactly.
+   union holds ceil(t size) of its shingles. Only then are the members opened, filtered by the most overlap that their
+   sizes and shared shingles allow, and verified exactly.
 
 Pairs inside a group are thus never spelled out, hot shingles cost one row a document, and no link is lost.
 
@@ -138,20 +139,20 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     common = common.where(F.size("x") >= _need(F.col("n"), percent))
     take = F.col("n") - _need(F.col("n"), percent) + 1 - (F.col("n") - F.size("x"))
     index = common.where(take > 0).select("rep", "n", F.size("x").alias("c"), F.posexplode(F.slice("x", 1, take.cast("int"))).alias("i", "x"))
-    index = cut(index.select("rep", "n", F.col("x.h").alias("h"), (F.col("c") - F.col("i")).alias("rest")))
+    index = cut(index.select("rep", "n", "c", F.col("x.h").alias("h"), (F.col("c") - F.col("i")).alias("rest")))
 
     # 3. link every posting list to its first member; components are the groups
     heads = index.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("h", "a")
     star = index.join(heads, "h").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     links = cut(_verified(star, sets, percent))
     component = connected_components(links).withColumnsRenamed({"node": "rep", "component": "part"})
-    parts = index.select("rep", "n").distinct().join(component, "rep", "left").select("rep", "n", F.coalesce("part", "rep").alias("part"))
+    parts = index.select("rep", "n", "c").distinct().join(component, "rep", "left").select("rep", "n", "c", F.coalesce("part", "rep").alias("part"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    grouped = parts.join(sizes, "part").select("rep", "n", "part", "size", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("chunk"))
+    grouped = parts.join(sizes, "part").select("rep", "n", "c", "part", "size", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("chunk"))
     grouped = cut(grouped)
 
     # 4. token-group matrix between different components
-    matrix = index.join(grouped.select("rep", "part", "size"), "rep")
+    matrix = index.drop("c").join(grouped.select("rep", "part", "size"), "rep")
     columns = matrix.groupBy("h", F.col("part").alias("gp"), F.col("size").alias("gs")).agg(F.max("rest").alias("grest"), F.min("n").alias("gn"))
     queries = matrix.select(F.col("rep").alias("q"), "h", "part", "size", F.col("n").alias("qn"), "rest")
     most = F.least("rest", "grest")  # a pair's overlap if h is its first common shingle
@@ -164,11 +165,12 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
         .groupBy(F.col("part").alias("gp"), F.col("chunk").alias("gc"))
         .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("u"))  # about GROUP sets
     )
-    asked = sets.select(F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("tokens").alias("tq"))
-    opened = candidates.join(asked, "q").join(union, ["gp", "gc"]).where(F.size(F.array_intersect("tq", "u")) >= _need(F.col("nq"), percent)).select("q", "nq", "gp", "gc")
-    inside = grouped.select(F.col("part").alias("gp"), F.col("chunk").alias("gc"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fits = (100 * F.col("nq") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("nq"))
-    across = opened.join(inside, ["gp", "gc"]).where(fits).select(F.col("q").alias("a"), "b")
+    asked = sets.join(grouped.select("rep", "c"), "rep").select(F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("c").alias("cq"), F.col("tokens").alias("tq"))
+    opened = candidates.join(asked, "q").join(union, ["gp", "gc"]).where(F.size(F.array_intersect("tq", "u")) >= _need(F.col("nq"), percent)).select("q", "nq", "cq", "gp", "gc")
+    inside = grouped.select(F.col("part").alias("gp"), F.col("chunk").alias("gc"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    most = F.least("cq", "cb")  # neither has more shingles that occur elsewhere
+    fits = 100 * most >= percent * (F.col("nq") + F.col("nb") - most)
+    across = opened.join(inside, (opened["gp"] == inside["gp"]) & (opened["gc"] == inside["gc"]) & fits).select(F.col("q").alias("a"), "b")
     final = connected_components(links.union(_verified(across, sets, percent)))
 
     ids = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
