@@ -46,21 +46,25 @@ NAME_LETTERS = (
 )
 HEX = ("0123456789abcdef",)
 
+_GIVEN = sorted({n for x in GIVEN.values() for n in x})
+#: Alternatives by first letter, tried only where a capital (or a title's letter) stands.
+_BY_LETTER = "(?:" + "|".join(f"{a}(?:{'|'.join(n[1:] for n in _GIVEN if n[0] == a)})" for a in sorted({n[0] for n in _GIVEN})) + ")"
+_FORMS = "(?:" + "|".join(t.replace(".", "[.]") for t in TITLES) + ")"
+_CAPITAL = "(?=[A-ZА-ЯΑ-Ω])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}\p{Ll}+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{6,}|\bAKIA[0-9A-Z]{16}\b",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{6})(?<=\b(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{6,}|\bAKIA[0-9A-Z]{16}\b",
+    "ip": rf"(?<![\d.])(?=\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.])(?:\d[ -]?){12,18}\d(?![\w])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\w)",
-    "name": rf"\b(?:{'|'.join(n for x in GIVEN.values() for n in x)}) {_WORD}(?!\p{{L}})"
-    rf"|(?<=\b(?:{'|'.join(t.replace('.', '[.]') for t in TITLES)})[.]? ){_WORD}(?: {_WORD})?(?!\p{{L}})",
+    "phone": r"(?<![\w.])(?=[+(\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\w)",
+    "name": rf"{_CAPITAL}(?:(?<!\p{{L}}){_BY_LETTER} {_WORD}(?!\p{{L}})|(?<=[ ])(?<=(?<!\p{{L}}){_FORMS}[.]? ){_WORD}(?: {_WORD})?(?!\p{{L}}))",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without these has none of the above.
-HINT = r"[0-9@]|(?:password|passwd|secret|token|api_?key)|" + "|".join(n for x in GIVEN.values() for n in x) + "|" + "|".join(f"{t.replace('.', '[.]')}[.]? " for t in TITLES)
+HINT = rf"[0-9@]|(?=[psta])(?:password|passwd|secret|token|api_?key)\s{{0,2}}[=:]|{_CAPITAL}(?:{_BY_LETTER}|{_FORMS}[.]?) \p{{Lu}}|(?=[гκ])(?:г-н|г-жа|κ[.])[.]? \p{{Lu}}"
 
 
 def kind(m: Column) -> Column:
@@ -188,10 +192,10 @@ def redrawn(entities: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFr
 
 def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with surrogates in ``text`` and the number of replacements in ``n_entities``."""
-    x = _found(documents.select("doc_id", "text"))
-    entities = x.select(F.explode(F.array_distinct("__m")).alias("entity")).select(kind(F.col("entity")).alias("what"), "entity")
+    x = cut(_found(documents.select("doc_id", "text")).where(F.size("__m") > 0).select("doc_id", F.array_distinct("__m").alias("__m")))
+    entities = x.select(F.explode("__m").alias("entity")).select(kind(F.col("entity")).alias("what"), "entity")
     again = redrawn(entities, key)
-    own = x.select("doc_id", F.explode(F.array_distinct("__m")).alias("entity")).join(again, "entity")
+    own = x.select("doc_id", F.explode("__m").alias("entity")).join(again, "entity")
     own = own.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("__own"))
     y = _found(documents).join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     first = _key(key, F.lit(0))
