@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from scatterspark.plans import kernel_queries, neighbour_queries, tree_queries  # noqa: F401
+from scatterspark.plans import kernel_queries, neighbour_queries, numeric_queries, tree_queries  # noqa: F401
 from scatterspark.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -11,7 +11,9 @@ from scatterspark.plans.base import r6, register, sq, sql_r6, with_points
 from scatterspark.sources import points
 
 CENTRES = ((0.25, 0.25), (0.5, 0.5), (0.75, 0.505))
+POLES = ((1.0, 0.0, 0.0), (0.0, 0.6, 0.8), (-0.48, 0.6, 0.64))
 L, C = 0.4, 0.7
+POLE_SQL = "b as (select * from (values " + ", ".join(f"({i}::bigint, {list(q)}::double[])" for i, q in enumerate(POLES)) + ") t(id, p))"
 
 S3, S5, S7, S9 = (f"(sqrt({n}::double) * r / {L}::double)" for n in (3, 5, 7, 9))
 KERNEL_SQL = {
@@ -54,7 +56,7 @@ for _name in KERNEL_SQL:
 
 def geodesic_kernel(spark, sf_dir):
     x = points.sphere(spark, sf_dir).select("id", "p")
-    y = x.where("id < 3").select(F.col("id").alias("c"), F.col("p").alias("q"))
+    y = spark.createDataFrame(list(enumerate(map(list, POLES))), "c long, q array<double>")
     k = CovarianceKernel("exponential", 1.0, metric="geodesic")
     return x.crossJoin(F.broadcast(y)).select("id", "c", F.round(geodesic(F.col("p"), F.col("q")), 5).alias("r"), F.round(k(F.col("p"), F.col("q")), 5).alias("k"))
 
@@ -64,14 +66,15 @@ register(
     geodesic_kernel,
     with_points(
         "sphere",
-        "select id, c, round(r, 5) as r, round(exp(-r), 5) as k from (select a.id, b.id as c, acos(greatest(-1::double, least(1::double, a.p[1]*b.p[1] + a.p[2]*b.p[2] + a.p[3]*b.p[3]))) as r from p a, p b where b.id < 3)",
+        "select id, c, round(r, 5) as r, round(exp(-r), 5) as k from (select a.id, b.id as c, acos(greatest(-1::double, least(1::double, a.p[1]*b.p[1] + a.p[2]*b.p[2] + a.p[3]*b.p[3]))) as r from p a, b)",
+        POLE_SQL,
     ),
 )
 
 
 def space_time(spark, sf_dir):
     x = points.sphere(spark, sf_dir).select("id", "p")
-    y = x.where("id < 3").select(F.col("id").alias("c"), F.col("p").alias("q"))
+    y = spark.createDataFrame(list(enumerate(map(list, POLES))), "c long, q array<double>")
     return x.crossJoin(F.broadcast(y)).select("id", "c", r6(space_time_periodic(F.col("p"), F.col("q"), L, C)).alias("k"))
 
 
@@ -80,7 +83,8 @@ register(
     space_time,
     with_points(
         "sphere",
-        f"select id, c, {sql_r6(f'(1 + {S3}) * exp(-{S3}) * exp(-2 * sin(pi() * t) * sin(pi() * t) / ({C}::double * {C}::double))')} as k from (select a.id, b.id as c, sqrt({sq('a.p', 'b.p', 2)}) as r, a.p[3] - b.p[3] as t from p a, p b where b.id < 3)",
+        f"select id, c, {sql_r6(f'(1 + {S3}) * exp(-{S3}) * exp(-2 * sin(pi() * t) * sin(pi() * t) / ({C}::double * {C}::double))')} as k from (select a.id, b.id as c, sqrt({sq('a.p', 'b.p', 2)}) as r, a.p[3] - b.p[3] as t from p a, b)",
+        POLE_SQL,
     ),
 )
 
@@ -97,11 +101,10 @@ register("distances", distances, with_points("part2", f"select id, c, {sql_r6(f'
 def _boxes(spark, sf_dir):
     x = points.part2(spark, sf_dir).withColumn("g", F.pmod("id", F.lit(17)))
     x = x.withColumn("x", F.element_at("p", 1) / 4 + F.col("g") / 17.0).withColumn("y", F.element_at("p", 2) / 4 + F.pmod("g", F.lit(5)) / 5.0)
-    x = x.where("id <= 170")
     return x.groupBy("g").agg(F.array(F.min("x"), F.min("y")).alias("lo"), F.array(F.max("x"), F.max("y")).alias("hi"), F.count("*").alias("n")).withColumn("leaf", F.col("g") % 3 == 0)
 
 
-BOX_SQL = """b0 as (select id % 17 as g, p[1] / 4 + (id % 17) / 17.0::double as x, p[2] / 4 + ((id % 17) % 5) / 5.0::double as y from p where id <= 170),
+BOX_SQL = """b0 as (select id % 17 as g, p[1] / 4 + (id % 17) / 17.0::double as x, p[2] / 4 + ((id % 17) % 5) / 5.0::double as y from p),
 b as (select g, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, g % 3 = 0 as leaf from b0 group by g),
 j as (select a.g as ga, b.g as gb, a.leaf as la, b.leaf as lb,
   sqrt(power(a.x2-a.x1,2) + power(a.y2-a.y1,2)) / 2 as ra, sqrt(power(b.x2-b.x1,2) + power(b.y2-b.y1,2)) / 2 as rb,
@@ -136,10 +139,17 @@ _rule(
 )
 
 
+def _caps(spark, sf_dir):
+    """A cap for each label: the mean direction and a radius by the label's number of points."""
+    x = points.sphere(spark, sf_dir)
+    m = x.groupBy("f").agg(*[F.avg(F.element_at("p", k)).alias(f"m{k}") for k in (1, 2, 3)], F.count("*").alias("n"))
+    size = F.sqrt(F.col("m1") * F.col("m1") + F.col("m2") * F.col("m2") + F.col("m3") * F.col("m3"))
+    return m.select(F.col("f").cast("long").alias("g"), F.array(F.col("m1") / size, F.col("m2") / size, F.col("m3") / size).alias("c"), (F.col("n") % 7 / 40.0).alias("r"))
+
+
 def spherical(spark, sf_dir):
-    x = points.sphere(spark, sf_dir).where("id < 40")
-    r = F.pmod("id", F.lit(7)) / 40.0
-    a, b = x.select(F.col("id").alias("a"), F.col("p").alias("ca"), r.alias("ra")), x.select(F.col("id").alias("b"), F.col("p").alias("cb"), r.alias("rb"))
+    x = _caps(spark, sf_dir)
+    a, b = x.toDF("a", "ca", "ra"), x.toDF("b", "cb", "rb")
     d = geometry.spherical_distance(F.col("ca"), F.col("ra"), F.col("cb"), F.col("rb"))
     return a.crossJoin(b).where("a != b").select("a", "b", r6(d).alias("d"), geometry.admissible(F.col("ra"), F.col("rb"), d, F.lit(False), F.lit(False), 0.3).alias("kind"))
 
@@ -150,7 +160,9 @@ register(
     with_points(
         "sphere",
         f"select a, b, {sql_r6('d')} as d, case when greatest(ra, rb) <= 0.3::double * d then 'low_rank' else 'refine' end as kind from s",
-        "s as (select a.id as a, b.id as b, (a.id % 7) / 40.0::double as ra, (b.id % 7) / 40.0::double as rb, greatest(0::double, acos(greatest(-1::double, least(1::double, a.p[1]*b.p[1]+a.p[2]*b.p[2]+a.p[3]*b.p[3]))) - (a.id % 7) / 40.0::double - (b.id % 7) / 40.0::double) as d from p a, p b where a.id < 40 and b.id < 40 and a.id <> b.id)",
+        "m as (select f::bigint as g, avg(p[1]) as x, avg(p[2]) as y, avg(p[3]) as z, (count(*) % 7) / 40.0::double as r from p group by f)",
+        "c as (select g, r, x / sqrt(x*x+y*y+z*z) as x, y / sqrt(x*x+y*y+z*z) as y, z / sqrt(x*x+y*y+z*z) as z from m)",
+        "s as (select a.g as a, b.g as b, a.r as ra, b.r as rb, greatest(0::double, acos(greatest(-1::double, least(1::double, a.x*b.x+a.y*b.y+a.z*b.z))) - a.r - b.r) as d from c a, c b where a.g <> b.g)",
     ),
 )
 
