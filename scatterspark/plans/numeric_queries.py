@@ -316,6 +316,6 @@ register(
 )
 register(
     "a_priori_filter",
-    lambda spark, sf_dir: _triplets(spark, sf_dir).where("i <= j and (i = j or abs(v) > 0.01)"),
+    lambda spark, sf_dir: _triplets(spark, sf_dir).where("i <= j and (i = j or abs(v) > 0.11)"),
     with_points("e64", "select * from x where i = j or abs(v) > 0.11::double", _TRIPLETS),
 )
