@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of similar lines stays; documents left without any words go."""
-    return op8_line_dedup.without_repeats(docs, op8_line_dedup.line_groups(docs))
+    return op8_line_dedup.without_repeats(docs, op8_line_dedup.similar_line_groups(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
