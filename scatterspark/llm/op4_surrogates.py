@@ -1,7 +1,7 @@
 """Keyed, type-consistent surrogates for personal data (DataFrame functions only).
 
 Detected kinds: e-mail addresses, IPv4 addresses, payment cards, phone and social security numbers, secrets (values after
-password, token, ... and access key ids) and names (a known given name with a capitalised word, or capitalised words
+password, token, ... in any case, and access key ids) and names (a known given name with a capitalised word, or capitalised words
 after a form of address).
 
 Every character is shifted within its own alphabet by a keyed SHA-256 of what precedes it (digits, hexadecimal digits,
@@ -29,12 +29,12 @@ KEY = "scatterspark"
 
 #: Given names by (script, gender).
 GIVEN = {
-    ("latin", "f"): "Alice Barbara Caroline Charlotte Claire Elizabeth Emily Hannah Isabelle Jennifer Julia Katharina Laura Maria Patricia Sophie Susan Victoria".split(),
-    ("latin", "m"): "Alexander Benjamin Charles Christopher Daniel Edward Frederick George Jonathan Joseph Matthew Michael Nicholas Patrick Richard Robert Stephen William".split(),
-    ("cyrillic", "f"): "Александра Анастасия Валентина Екатерина Елена Ирина Людмила Наталья Ольга Светлана Татьяна Юлия".split(),
-    ("cyrillic", "m"): "Алексей Андрей Борис Виктор Владимир Дмитрий Евгений Михаил Николай Павел Сергей Юрий".split(),
-    ("greek", "f"): "Αικατερίνη Αναστασία Βασιλική Δήμητρα Ελένη Ειρήνη Μαρία Σοφία".split(),
-    ("greek", "m"): "Αλέξανδρος Βασίλειος Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης".split(),
+    ("latin", "f"): "Alice Barbara Caroline Charlotte Claire Elizabeth Emily Hannah Isabelle Jennifer Julia Katharina Laura Maria Patricia Sophie Susan Victoria Mary Anna Anne Linda Margaret Sarah Karen Nancy Lisa Helen Sandra Ruth Rachel Martha Rebecca Emma Olivia Amanda Stephanie Catherine Marie Nathalie Camille Christine Sabine Petra Monika Ursula Carmen Ana Isabel Lucia Marta Pilar Elena Rosa".split(),
+    ("latin", "m"): "Alexander Benjamin Charles Christopher Daniel Edward Frederick George Jonathan Joseph Matthew Michael Nicholas Patrick Richard Robert Stephen William John James David Thomas Peter Paul Mark Andrew Steven Kevin Brian Anthony Henry Jack Samuel Simon Martin Adam Philip Jason Eric Hans Klaus Wolfgang Stefan Andreas Jan Pierre Jean Jacques Luc Michel Antoine Carlos Juan Luis Miguel Pedro Antonio Manuel Pablo".split(),
+    ("cyrillic", "f"): "Александра Анастасия Валентина Екатерина Елена Ирина Людмила Наталья Ольга Светлана Татьяна Юлия Анна Мария Надежда Галина Дарья".split(),
+    ("cyrillic", "m"): "Алексей Андрей Борис Виктор Владимир Дмитрий Евгений Михаил Николай Павел Сергей Юрий Иван Александр Максим Антон Пётр".split(),
+    ("greek", "f"): "Αικατερίνη Αναστασία Βασιλική Δήμητρα Ελένη Ειρήνη Μαρία Σοφία Άννα".split(),
+    ("greek", "m"): "Αλέξανδρος Βασίλειος Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης Πέτρος".split(),
 }
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Señor", "Señora", "Don", "Doña", "г-н", "г-жа", "κ.")
 #: Alphabets within which a character is shifted.
@@ -48,23 +48,27 @@ HEX = ("0123456789abcdef",)
 
 _GIVEN = sorted({n for x in GIVEN.values() for n in x})
 #: Alternatives by first letter, tried only where a capital (or a title's letter) stands.
-_BY_LETTER = "(?:" + "|".join(f"{a}(?:{'|'.join(n[1:] for n in _GIVEN if n[0] == a)})" for a in sorted({n[0] for n in _GIVEN})) + ")"
+_alternatives = lambda names: "(?:" + "|".join(f"{a}(?:{'|'.join(n[1:] for n in names if n[0] == a)})" for a in sorted({n[0] for n in names})) + ")"
+_BY_LETTER, _UPPER = _alternatives(_GIVEN), _alternatives(sorted(n.upper() for n in _GIVEN))
 _FORMS = "(?:" + "|".join(t.replace(".", "[.]") for t in TITLES) + ")"
-_CAPITAL = "(?=[A-ZА-ЯΑ-Ω])"
+_CAPITAL = "(?=[A-ZА-ЯΑ-ΩΆ])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}\p{Ll}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{6})(?<=\b(?:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{6,}|\bAKIA[0-9A-Z]{16}\b",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{6})(?<=\b(?i:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{6,}|\bAKIA[0-9A-Z]{16}\b",
     "ip": rf"(?<![\d.])(?=\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.])(?:\d[ -]?){12,18}\d(?![\w])",
-    "phone": r"(?<![\w.])(?=[+(\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\w)",
-    "name": rf"{_CAPITAL}(?:(?<!\p{{L}}){_BY_LETTER} {_WORD}(?!\p{{L}})|(?<=[ ])(?<=(?<!\p{{L}}){_FORMS}[.]? ){_WORD}(?: {_WORD})?(?!\p{{L}}))",
+    # international with 8 to 15 digits in any groups; with a leading 0 and 9 to 12 digits; groups of 2 to 4 digits
+    "phone": r"(?<![\w.])(?=[+(\d])(?:\+\d(?:[ .()-]{0,2}\d){7,14}|(?=0\d{1,4}[ .-])0[1-9](?:[ .-]?\d){7,10}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?)(?!\w)",
+    "name": rf"{_CAPITAL}(?:(?<!\p{{L}})(?:{_BY_LETTER} {_WORD}|{_UPPER} \p{{Lu}}{{2,}})(?!\p{{L}})|(?<=[ ])(?<=(?<!\p{{L}}){_FORMS}[.]? ){_WORD}(?: {_WORD})?(?!\p{{L}}))",
 }
+#: A country code: what stands before the first mark, else by the numbering plan.
+_CODE = r"^(\+\d{1,3}[ .-]|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|)(.*)$"
 ANY = "|".join(PATTERNS.values())
 #: A text without these has none of the above.
-HINT = rf"[0-9@]|(?=[psta])(?:password|passwd|secret|token|api_?key)\s{{0,2}}[=:]|{_CAPITAL}(?:{_BY_LETTER}|{_FORMS}[.]?) \p{{Lu}}|(?=[гκ])(?:г-н|г-жа|κ[.])[.]? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=[pstaPSTA])(?i:password|passwd|secret|token|api_?key)\s{{0,2}}[=:]|{_CAPITAL}(?:{_BY_LETTER}|{_UPPER}|{_FORMS}[.]?) \p{{Lu}}|(?=[гκ])(?:г-н|г-жа|κ[.])[.]? \p{{Lu}}"
 
 
 def kind(m: Column) -> Column:
@@ -74,8 +78,8 @@ def kind(m: Column) -> Column:
         .when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), F.lit("ip"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.lit("ssn"))
         .when(m.rlike(r"^[\d -]+$") & (digits >= 13), F.lit("card"))
-        .when(m.rlike(r"^[+(\d][\d ().-]+$") & m.rlike(r"[ ().-]"), F.lit("phone"))
-        .when(m.rlike(rf"^{_WORD}(?: {_WORD})?$"), F.lit("name"))
+        .when(m.rlike(r"^[+(\d][\d ().-]+$") & m.rlike(r"^\+|[ ().-]"), F.lit("phone"))
+        .when(m.rlike(rf"^(?:{_WORD}(?: {_WORD})?|\p{{Lu}}+ \p{{Lu}}{{2,}})$"), F.lit("name"))
         .otherwise(F.lit("secret"))
     )
 
@@ -139,9 +143,9 @@ def _name(m: Column, key: Column) -> Column:
         out = _cipher(w, key, "name", NAME_LETTERS)
         for (script, gender), names in GIVEN.items():
             listed = F.array(*[F.lit(n) for n in names])
-            at = F.array_position(listed, w)
+            at = F.array_position(listed, F.initcap(w))
             out = F.when(at > 0, F.element_at(listed, ((at - 1 + 1 + _draw(key, f"given|{script}|{gender}", F.lit("")) % (len(names) - 1)) % len(names) + 1).cast("int"))).otherwise(out)
-        return out
+        return F.when(w == F.upper(w), F.upper(out)).otherwise(out)
 
     return F.array_join(F.transform(F.split(m, " "), word), " ")
 
@@ -149,7 +153,7 @@ def _name(m: Column, key: Column) -> Column:
 def surrogate(what: Column, m: Column, key: Column) -> Column:
     """The replacement of entity ``m`` of kind ``what``."""
     stem, top = F.regexp_extract(m, r"^(.*\.)([A-Za-z]+)$", 1), F.regexp_extract(m, r"^(.*\.)([A-Za-z]+)$", 2)
-    code, rest = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]|)(.*)$", 1), F.regexp_extract(m, r"^(\+\d{1,3}[ .-]|)(.*)$", 2)
+    code, rest = F.regexp_extract(m, _CODE, 1), F.regexp_extract(m, _CODE, 2)
     access, tail = F.regexp_extract(m, r"^(AKIA|)(.*)$", 1), F.regexp_extract(m, r"^(AKIA|)(.*)$", 2)
     return (
         F.when(what == "email", F.concat(_cipher(stem, key, "email"), top))

@@ -122,3 +122,18 @@ def test_card_map_is_one_to_one(spark, n):
     df = spark.range(n).select(F.lit("card").alias("what"), F.concat(F.lit("4000 0000 0000 0"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("entity"))
     got = df.select(op.surrogate(F.col("what"), F.col("entity"), op._key(op.KEY, F.lit(0))).alias("s")).distinct()
     assert got.count() == n
+
+
+def test_wider_forms_leave_nothing_in_clear(spark):
+    cases = [('TOKEN = "{}" x', "9233A8EC77"), ("Password: {} x", "hunter2x"), ("Api_Key={} x", "abcdef123")]
+    cases += [("call {}.", e) for e in ("+15551234567", "+49 30 1234567", "+33 6 12 34 56 78", "06 12 34 56 78", "030 1234567")]
+    cases += [("then {} came", e) for e in ("John Smith", "Mary Jones", "Peter Falk", "JOHN SMITH", "Анна Петрова")]
+    df = spark.createDataFrame([(i, t.format(e)) for i, (t, e) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.pseudonymise(df).collect()}
+    for i, (t, e) in enumerate(cases):
+        before, after = t.split("{}")
+        new = got[i].text[len(before) : len(got[i].text) - len(after)]
+        assert got[i].n_entities == 1 and got[i].text == before + new + after and new != e, e
+        assert not set(e.split()) & set(new.split()) - {"+49", "+33"}, (e, new)
+    assert got[3].text.startswith("call +1") and got[11].text.split()[1].isupper()
+    assert got[11].text.split()[1].title() == got[8].text.split()[1]
