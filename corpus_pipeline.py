@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from scatterspark.llm import op3_packing, op6_language, op7_decontaminate, op8_line_dedup, op10_jaccard_join
 from scatterspark.llm.common import ensure_checkpoint_dir, table
 
-#: Language scores below this are rejected, as are texts without a letter.
-LEAST_LANGUAGE_SCORE = 0.1
-
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
@@ -25,8 +22,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or that resemble no learned language, go."""
-    found = op6_language.identify(docs, op6_language.fit(docs))
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)))
+    return _without(docs, op6_language.unlike(docs, op6_language.fit(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,10 @@ from scatterspark.llm.arrow import by_slices, groups
 from scatterspark.llm.common import fold, table
 
 MAX_N, DIM = 4, 1 << 15
+#: A text resembles a language if its n-grams are at least MARGIN times as usual as those of the LOW quantile of training
+#: texts (a few of which may have the wrong language);
+#: texts with fewer than JUDGED n-grams can't be told.
+MARGIN, LOW, JUDGED = 0.8, 0.1, 60
 PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 500, 256, 256, 1e-3
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -55,8 +59,17 @@ def normalised(p: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.weights, self.bias = languages, weights, bias
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, usual: np.ndarray | None = None, least: np.ndarray | None = None):
+        self.languages, self.weights, self.bias, self.usual, self.least = languages, weights, bias, usual, least
+
+    def unlike(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a text has no letter or its n-grams are too unusual in every language; scores sum to 1 and can't say so."""
+        out = np.array([not self.languages or t is None or LETTER.search(t) is None for t in texts], bool)
+        if self.usual is not None and not out.all():
+            p = presence([t for t, o in zip(texts, out) if not o])
+            n = p.sum(1)
+            out[~out] = (n >= JUDGED) & ((p.astype(np.float32) @ self.usual) / np.maximum(1, n)[:, None] < self.least).all(1)
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = np.array([bool(self.languages) and t is not None and LETTER.search(t) is not None for t in texts])
@@ -89,7 +102,21 @@ def train(packed: list[bytes], langs: list[str], landmarks: int = LANDMARKS, rid
     mean, ymean = weight @ phi, weight @ y
     a, b = phi - mean, y - ymean
     alpha = np.linalg.solve((a * weight[:, None]).T @ a + ridge * np.eye(a.shape[1]), (a * weight[:, None]).T @ b)
-    return Model(names, (L.T @ (root @ alpha)).astype(np.float32), (ymean - mean @ alpha).astype(np.float32))
+    usual, least = np.zeros((DIM, len(names)), np.float32), np.full(len(names), np.inf)
+    for k, n in enumerate(names):
+        mine = [r for r, x in zip(packed, langs) if x == n]
+        part = lambda i: np.unpackbits(np.array([np.frombuffer(r, np.uint8) for r in mine[i : i + 256]]), axis=1).astype(np.float32)
+        count = sum(part(i).sum(0) for i in range(0, len(mine), 256))
+        usual[:, k] = count / len(mine)
+        own = []
+        for i in range(0, len(mine), 256):  # each text against the others
+            p = part(i)
+            size = p.sum(1)
+            own.append(((p @ count - size) / max(1, len(mine) - 1) / np.maximum(1, size))[size >= JUDGED])
+        if len(own := np.concatenate(own)):
+            least[k] = MARGIN * np.quantile(own, LOW)
+    least[np.isinf(least)] = 0  # nothing to judge by
+    return Model(names, (L.T @ (root @ alpha)).astype(np.float32), (ymean - mean @ alpha).astype(np.float32), usual, least)
 
 
 def fit(documents: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, **options) -> Model:
@@ -119,6 +146,16 @@ def identify(documents: DataFrame, model: Model, folds: int = 4, held: int = 2)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def unlike(documents: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id)`` of the texts that resemble no learned language."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def fn(keys, texts):
+        return {"doc_id": [k for k, u in zip(keys, shared.value.unlike(texts)) if u]}
+
+    return documents.select("doc_id", "text").mapInArrow(by_slices(fn, pa.schema([("doc_id", pa.int64())]), size=128), "doc_id long")
+
+
 def query(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return identify(documents, fit(documents))

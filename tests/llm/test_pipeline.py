@@ -62,3 +62,15 @@ def test_stages_alone(spark, folder):
     by = {r.doc_id: r for r in lines.collect()}
     assert by[125].text == items[1][1] and by[125].n_chars == len(items[1][1]) and by[1].text == text[1] and by[122].text is None
     assert cp.pack(spark, docs, sf).count() == docs.count()
+
+
+def test_language_rejects_unlearned_languages_and_letter_junk(spark, folder):
+    sf, rows, _ = folder
+    rng = np.random.default_rng(6)
+    greek = " ".join(word(rng, ["γω", "δε", "λο", "φυ"]) for _ in range(60))
+    other = " ".join(word(rng, ["quy", "wix", "fjo", "gha", "vup"]) for _ in range(60))
+    junk = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxzaeiouy"), rng.integers(3, 10))) for _ in range(60))
+    more = [(900 + i, t, None, "s", len(t)) for i, t in enumerate((greek, other, junk))]
+    docs = spark.createDataFrame(rows + more, SCHEMA)
+    kept = {r.doc_id for r in cp.language(spark, docs, sf).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
