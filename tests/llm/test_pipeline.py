@@ -74,3 +74,16 @@ def test_language_rejects_unlearned_languages_and_letter_junk(spark, folder):
     docs = spark.createDataFrame(rows + more, SCHEMA)
     kept = {r.doc_id for r in cp.language(spark, docs, sf).select("doc_id").collect()}
     assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+
+
+def test_null_and_repeated_ids_name_one_row_each(spark, folder):
+    sf, rows, items = folder
+    rng = np.random.default_rng(12)
+    a, b, c, d, e = (" ".join(word(rng, ["ka", "lo", "mi", "ter", "on"]) for _ in range(30)) for _ in range(5))
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in ((1, a), (1, a), (None, b), (2, b), (3, c + "\n" + d), (3, d + "\n" + e), (None, items[0][1]))], SCHEMA)
+    texts = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    assert texts(cp.near_dedup(spark, docs, sf)) == sorted([(1, a), (2, b), (3, c + "\n" + d), (3, d + "\n" + e), (0, items[0][1])])
+    assert texts(cp.decontaminate(spark, docs, sf)) == sorted([(1, a), (1, a), (0, b), (2, b), (3, c + "\n" + d), (3, d + "\n" + e)])
+    lines = cp.line_dedup(spark, docs.where("doc_id = 3 or doc_id = 1"), sf)
+    assert lines.columns == docs.columns
+    assert sorted(x for r in lines.collect() for x in r.text.split("\n")) == sorted([a, c, d, e])
