@@ -87,16 +87,57 @@ def pivoted_cholesky(points: DataFrame, kernel: CovarianceKernel, tol: float = 1
     return Factor(x, pivots, traces, lp)
 
 
+def _product(points: DataFrame, kernel: CovarianceKernel, x: np.ndarray, at: dict, omega: np.ndarray, block: int = 2048) -> np.ndarray:
+    """K omega, the rows of K in tasks and its columns in blocks; ``at`` has the row of each id."""
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast((x, omega))
+
+    def fn(frames):
+        x, omega = shared.value
+        for f in frames:
+            for i in range(0, len(f), block):
+                p = np.array(f["p"].iloc[i : i + block].tolist())
+                y = sum(kernel.matrix(p, x[j : j + block]) @ omega[j : j + block] for j in range(0, len(x), block))
+                yield pd.DataFrame({"id": f["id"].iloc[i : i + block].to_numpy(), "y": list(y)})
+
+    out = np.zeros_like(omega)
+    for row_id, y in points.select("id", "p").mapInPandas(fn, "id long, y array<double>").toLocalIterator():
+        out[at[row_id]] = y
+    shared.unpersist()
+    return out
+
+
 def truncated_eigen(points: DataFrame, kernel: CovarianceKernel, tol: float = 1e-3, limit: int = 5000) -> tuple[list[int], np.ndarray]:
-    """Ids and factor of the truncated eigendecomposition; for at most ``limit`` points, else an error."""
-    rows = points.orderBy("id").limit(limit + 1).select("id", "p").collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} points; use pivoted_cholesky or nystrom")
-    k = kernel.matrix(*[np.array([r["p"] for r in rows])] * 2)
-    value, vector = np.linalg.eigh(k)
-    value, vector = value[::-1], vector[:, ::-1]
-    keep = int(np.searchsorted(np.cumsum(value), np.trace(k) * (1 - tol)) + 1)
-    return [r["id"] for r in rows], vector[:, :keep] * np.sqrt(np.maximum(0, value[:keep]))
+    """Ids and factor of the truncated eigendecomposition, exact for at most ``limit`` points.
+
+    More points go through a randomized range finder, K ~ Q (Q^T K Q) Q^T with Q a basis of K times a random matrix, whose
+    number of columns doubles until the trace defect is at most ``tol``. K is never held; points and N x columns numbers
+    are held by the driver and each task.
+    """
+    rows = points.orderBy("id").select("id", "p").collect()
+    ids, x = [r["id"] for r in rows], np.array([r["p"] for r in rows])
+    n = len(ids)
+    if n <= limit:
+        k = kernel.matrix(x, x)
+        value, q = np.linalg.eigh(k)
+        trace = np.trace(k)
+    else:
+        at = {i: k for k, i in enumerate(ids)}
+        trace, r = n * float(kernel.values(np.zeros(1))[0]), min(n, 64)
+        rng = np.random.default_rng(0)
+        while True:
+            q = np.eye(n) if r == n else rng.standard_normal((n, r))
+            for _ in range(2 if r < n else 0):  # the second time sharpens slowly falling spectra
+                q = np.linalg.qr(_product(points, kernel, x, at, q))[0]
+            t = q.T @ _product(points, kernel, x, at, q)
+            value, u = np.linalg.eigh((t + t.T) / 2)
+            if value.sum() >= trace * (1 - tol) or r == n:
+                q = q @ u
+                break
+            r = min(n, 2 * r)
+    value, vector = value[::-1], q[:, ::-1]
+    keep = int(np.searchsorted(np.cumsum(value), trace * (1 - tol)) + 1)
+    return ids, vector[:, :keep] * np.sqrt(np.maximum(0, value[:keep]))
 
 
 def centres(points: DataFrame, rank: int, seed: int = 0) -> tuple[list[int], np.ndarray]:
