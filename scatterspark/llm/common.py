@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterspark.session import cut, ensure_checkpoint_dir  # noqa: F401
+from scatterspark.session import cut, ensure_checkpoint_dir, saved  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids(doc_id)``; null ids stay.
+
+    A bit set of 2^23 bits, hashed from the ids, goes to all tasks as 2^17 words. Rows that miss it stay where they are;
+    only the others are shuffled for the exact join.
+    """
+    gone = cut(ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))
+    bits = gone.groupBy(F.shiftright(slot("__id"), 6).alias("__word")).agg(F.bit_or(bit(slot("__id"))).alias("__mask"))
+    word = F.shiftright(slot("doc_id"), 6)
+    x = docs.withColumn("__at", word).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
+    maybe = F.coalesce(F.col("__mask").bitwiseAND(bit(slot("doc_id"))) != 0, F.lit(False))
+    stay = x.where(~maybe).select(*docs.columns)
+    return stay.union(x.where(maybe).join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component = smallest node reachable.
 

@@ -1,6 +1,7 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix.
 
-Documents with equal sets are one class from the start; its smallest id stands for it. The join then runs in steps that
+Documents with equal sets are one class from the start, known by 128 bits of its set and numbered; a component is named
+by the smallest id in it. The join then runs in steps that
 each drop only what provably has no link at the threshold t (a link needs overlap >= ceil(t * size) on both sides):
 
 1. Hash-ordered prefixes. Two linked sets share at least k of their size - ceil(t size) + k smallest hashes. A class
@@ -18,7 +19,7 @@ each drop only what provably has no link at the threshold t (a link needs overla
 Pairs inside a group are thus never spelled out, hot shingles cost one row a document, and no link is lost.
 
 Edge cases: null, empty and blank texts have no shingles, link with nothing and are their own component; texts of fewer
-than five words have their whole word sequence as one shingle; repeated ids share one component; rows with a null id
+than five words have their whole word sequence as one shingle; rows that share an id are told apart by their text; rows with a null id
 can't be named, so they keep a null component; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scatterspark.llm.arrow import by_slices
-from scatterspark.llm.common import connected_components, cut, table
+from scatterspark.llm.common import connected_components, saved, table
 from scatterspark.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT, GROUP, SHARE = 5, 75, 64, 0.1
@@ -51,27 +52,19 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(s)).astype(np.int64))
 
 
-def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, n, s1, s2)``: size of each set and 128 bits that stand for it."""
+def prefixes(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``(doc_id, n, s1, s2, prefix array<long>)``: size of each set, 128 bits that stand for it and its smallest hashes.
+
+    Sets that can't link, because they are empty or their row has no id, have an empty prefix.
+    """
 
     def fn(keys, texts):
         sets = shingle_sets(texts, words)
         sig = [_signature(s) for s in sets]
-        return {"doc_id": keys, "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig]}
-
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-    return documents.select("doc_id", "text").mapInArrow(by_slices(fn, arrow), "doc_id long, n long, s1 long, s2 long")
-
-
-def prefixes(documents: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """``(doc_id, n, s1, s2, prefix array<long>)``: the smallest hashes of each set that isn't empty."""
-
-    def fn(keys, texts):
-        rows = [(k, s, *_signature(s)) for k, s in zip(keys, shingle_sets(texts, words)) if len(s) and k is not None]
-        cutoff = [len(s) - need(len(s), percent) + max(1, int(SHARE * len(s))) for _, s, *_ in rows]
+        cutoff = [0 if k is None or not len(s) else len(s) - need(len(s), percent) + max(1, int(SHARE * len(s))) for k, s in zip(keys, sets)]
         return {
-            "doc_id": [r[0] for r in rows], "n": [len(r[1]) for r in rows], "s1": [r[2] for r in rows], "s2": [r[3] for r in rows],
-            "prefix": [r[1][:c].astype(np.int64) for r, c in zip(rows, cutoff)],
+            "doc_id": keys, "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig],
+            "prefix": [s[:c].astype(np.int64) for s, c in zip(sets, cutoff)],
         }
 
     arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
@@ -79,12 +72,12 @@ def prefixes(documents: DataFrame, percent: int, words: int = WORDS) -> DataFram
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(rep, n, tokens array<long>)`` of the documents whose ids are in ``wanted(rep)``.
+    """``(rep, n, tokens array<long>)`` of the classes ``wanted(rep, doc_id, n, s1, s2)``, doc_id being one of their documents.
 
     A bit set of fixed size, hashed from the ids, keeps other documents from being shuffled; the join makes it exact.
     """
     bits = 1 << 22
-    slots = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("b"))
+    slots = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("b"))
     word = slots.groupBy((F.col("b") / 32).cast("int").alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("b") % 32).cast("long")).alias("v"))
     mask = np.zeros(bits // 32, np.uint32)
     for w, v in word.collect():  # at most bits / 32 rows
@@ -99,13 +92,15 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, words: int = WORDS) -> D
 
     def fn(keys, texts):
         sets = shingle_sets(texts, words)
-        return {"rep": keys, "n": [len(s) for s in sets], "tokens": [s.astype(np.int64) for s in sets]}
+        sig = [_signature(s) for s in sets]
+        return {"doc_id": keys, "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig], "tokens": [s.astype(np.int64) for s in sets]}
 
-    arrow = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     slices = by_slices(fn, arrow)
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("b")
-    found = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot).mapInArrow(lambda it: slices(pick(it)), "rep long, n long, tokens array<long>")
-    return found.join(wanted, "rep").dropDuplicates(["rep"])
+    found = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot).mapInArrow(lambda it: slices(pick(it)), "doc_id long, n long, s1 long, s2 long, tokens array<long>")
+    # rows that share an id may hold other texts; equal rows leave one set
+    return found.join(wanted, ["doc_id", "n", "s1", "s2"]).select("rep", "n", "tokens").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,38 +113,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
-    members = cut(signatures(documents, words))
-    classes = members.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes)
-
-    # 1. hash-ordered prefixes of one document of each class
-    first = prefixes(documents, percent, words).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    first = cut(first.select("rep", "n", "prefix"))
-    tokens = first.select("rep", F.explode("prefix").alias("h"))
-    shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")  # a class has a hash once
-    counts = tokens.join(shared, "h").groupBy("rep").agg(F.count("*").alias("c"))
+    members = saved(prefixes(documents, percent, words))
+    classes = members.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
+
+    # 1. hash-ordered prefixes: copies let their class through, what stays is decided by other classes in the next step
+    tokens = members.select("n", "s1", "s2", F.explode("prefix").alias("h"))
+    shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    counts = members.select("doc_id", "n", "s1", "s2", F.explode("prefix").alias("h"))
+    counts = counts.join(shared, "h").groupBy("doc_id", "n", "s1", "s2").agg(F.count("*").alias("c"))  # equal rows only add up
     least = F.greatest(F.lit(1), F.floor(SHARE * _need(F.col("n"), percent)))
-    left = cut(counts.join(first.select("rep", "n"), "rep").where(F.col("c") >= least).select("rep"))
+    left = saved(counts.where(F.col("c") >= least).join(classes, ["doc_id", "n", "s1", "s2"]).select("rep", "doc_id", "n", "s1", "s2"))
 
     # 2. frequencies among the classes left, rarest-first prefixes
-    sets = cut(whole_sets(documents, left, words))
+    sets = saved(whole_sets(documents, left, words))
     tokens = sets.select("rep", "n", F.explode("tokens").alias("h"))
     df = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     common = tokens.join(df, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     common = common.where(F.size("x") >= _need(F.col("n"), percent))
     take = F.col("n") - _need(F.col("n"), percent) + 1 - (F.col("n") - F.size("x"))
     index = common.where(take > 0).select("rep", "n", F.size("x").alias("c"), F.posexplode(F.slice("x", 1, take.cast("int"))).alias("i", "x"))
-    index = cut(index.select("rep", "n", "c", F.col("x.h").alias("h"), (F.col("c") - F.col("i")).alias("rest")))
+    index = saved(index.select("rep", "n", "c", F.col("x.h").alias("h"), (F.col("c") - F.col("i")).alias("rest")))
 
     # 3. link every posting list to its first member; components are the groups
     heads = index.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("h", "a")
     star = index.join(heads, "h").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = cut(_verified(star, sets, percent))
+    links = saved(_verified(star, sets, percent))
     component = connected_components(links).withColumnsRenamed({"node": "rep", "component": "part"})
     parts = index.select("rep", "n", "c").distinct().join(component, "rep", "left").select("rep", "n", "c", F.coalesce("part", "rep").alias("part"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
     grouped = parts.join(sizes, "part").select("rep", "n", "c", "part", "size", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP)).alias("chunk"))
-    grouped = cut(grouped)
+    grouped = saved(grouped)
 
     # 4. token-group matrix between different components
     matrix = index.drop("c").join(grouped.select("rep", "part", "size"), "rep")
@@ -173,8 +167,11 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     across = opened.join(inside, (opened["gp"] == inside["gp"]) & (opened["gc"] == inside["gc"]) & fits).select(F.col("q").alias("a"), "b")
     final = connected_components(links.union(_verified(across, sets, percent)))
 
-    ids = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return members.join(ids, ["n", "s1", "s2"], "left").select(
+    # a component is named by its smallest id, which several classes may have where rows share an id
+    parts = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", "doc_id", F.coalesce("component", "rep").alias("part"))
+    top = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    ids = parts.join(top, "part").select("n", "s1", "s2", "component_id")
+    return members.select("doc_id", "n", "s1", "s2").join(ids, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 

@@ -75,6 +75,14 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert op.join_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_different_texts_under_one_id(spark, order):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(7, a), (7, b), (9, b + " more"), (11, a + " more"), (8, "c " + b)][::order], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in op.join_components(df).collect())
+    assert got == [(7, 7), (7, 7), (8, 7), (9, 7), (11, 7)]
+
+
 def test_hashes_do_not_depend_on_the_batch():
     t = ["b C d e f g", "zz yy", "", None, "q " * 100]
     alone = [shingle_sets([x])[0].tolist() for x in t]
