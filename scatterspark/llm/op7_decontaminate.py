@@ -5,8 +5,10 @@ fixed mask and ignores those between. Seeds of the benchmark and of the document
 hit is verified along its diagonal (document position minus item position).
 
 An item is found in a document if, on one diagonal, a stretch of ``SPAN`` = 13 words of the item equals the document's
-in at least 11 positions; items of 5 to 12 words must occur as a whole, shorter ones are too common to tell. The three
-masks are fully sensitive to this: wherever two of 13 words are replaced, one of them fits between the two.
+in at least 11 positions. Shorter items must occur from end to end: those of 7 to 12 words with one word replaced at
+most, those of up to 6 words as they are. The three masks are fully sensitive to two replaced words of 13: one of them
+fits between the two; the two halves that serve as masks for 7 to 12 words are so for one. Very short items are found in
+many documents; ``shortest`` leaves out those of fewer words where that isn't wanted.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, with one pass over the documents for each,
 so what is broadcast is bounded; documents are never shuffled, so an item that a third of them contain is no hot key.
@@ -28,7 +30,7 @@ from scatterspark.llm.arrow import by_slices
 from scatterspark.llm.common import table
 from scatterspark.llm.shingles import mix, word_hashes
 
-SPAN, EQUAL, SHORTEST = 13, 11, 5
+SPAN, EQUAL = 13, 11
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 4, 7, 8, 9, 10), (0, 1, 2, 3, 5, 7, 8))
 BLOCK_WORDS = 1_000_000
 _BITS = 22
@@ -53,6 +55,16 @@ def seeds(h: np.ndarray, counts: np.ndarray, mask: tuple[int, ...]) -> tuple[np.
     return mix(out), at
 
 
+def replaceable(n: int) -> int:
+    """Words of an item, or of ``SPAN`` of its words, that may differ."""
+    return min(n, SPAN) * (SPAN - EQUAL) // SPAN
+
+
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of n words, n below ``SPAN``."""
+    return [tuple(range(n // 2)), tuple(range(n // 2, n))] if replaceable(n) else [tuple(range(n))]
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -63,8 +75,8 @@ class Index:
         item = np.repeat(np.arange(len(ids)), self.counts)
         self.masks = []
         long = self.counts >= SPAN
-        lengths = sorted({int(n) for n in self.counts if SHORTEST <= n < SPAN})
-        for mask, chosen in [(m, long) for m in MASKS] + [(tuple(range(n)), self.counts == n) for n in lengths]:
+        lengths = sorted({int(n) for n in self.counts if 0 < n < SPAN})
+        for mask, chosen in [(m, long) for m in MASKS] + [(m, self.counts == n) for n in lengths for m in masks_of(n)]:
             s, at = seeds(self.h, self.counts, mask)
             s, at = s[chosen[item[at]]], at[chosen[item[at]]]
             order = np.argsort(s, kind="stable")
@@ -95,20 +107,22 @@ class Index:
     def verify(self, item: int, diagonal: int, h: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Item positions that a qualifying stretch covers and that equal the document's words in h[lo:hi]."""
         n = int(self.counts[item])
+        if n < SPAN and not lo <= diagonal <= hi - n:
+            return np.zeros(0, np.int64)
         a, b = max(0, lo - diagonal), min(n, hi - diagonal)
         equal = np.zeros(n, bool)
         equal[a:b] = self.h[self.first[item] + a : self.first[item] + b] == h[diagonal + a : diagonal + b]
         length = min(SPAN, n)
-        ok = np.convolve(equal, np.ones(length, int), "valid") >= (EQUAL if n >= SPAN else n)
+        ok = np.convolve(equal, np.ones(length, int), "valid") >= length - replaceable(n)
         covered = np.convolve(ok, np.ones(length, int)) > 0
         return np.flatnonzero(covered & equal)
 
 
-def _blocks(benchmark: DataFrame, most: int):
+def _blocks(benchmark: DataFrame, most: int, shortest: int):
     ids, texts, used = [], [], 0
     for item_id, text in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         n = len(_SIGNS.sub(" ", text).split()) if text else 0
-        if n < SHORTEST:
+        if n < max(1, shortest):
             continue
         if ids and used + n > most:
             yield ids, texts
@@ -120,7 +134,7 @@ def _blocks(benchmark: DataFrame, most: int):
         yield ids, texts
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
     """``(doc_id, item_id, n_equal, n_words, first, last)``: items found in documents.
 
     ``n_equal`` counts the item's words that verified stretches share with the document, ``first`` and ``last`` are the
@@ -130,7 +144,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_words: int =
     names = ["doc_id", "item_id", "n_equal", "n_words", "first", "last"]
     arrow = pa.schema([(n, pa.int64()) for n in names])
     out = spark.createDataFrame([], ", ".join(f"{n} long" for n in names))
-    for ids, texts in _blocks(benchmark, block_words):
+    for ids, texts in _blocks(benchmark, block_words, shortest):
         shared = spark.sparkContext.broadcast(Index(ids, texts))
 
         def fn(keys, docs, shared=shared):
