@@ -3,10 +3,11 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant and all
 others as named users; the loss mask covers exactly the assistant's content (with its end marker).
 
-Edge cases: a null text is empty; null roles form the participant ``unknown``; equal turn numbers are ordered by role
-and text, repeated rows stay repeated; rows with a null turn come first; control markers inside texts are broken up so
-that they can't be taken for structure; an empty table gives no rows; further input columns are ignored. A conversation
-of more than ``turns_per_segment`` turn numbers is rendered in segments, so no unbounded group is gathered.
+Edge cases: a null text is empty; null roles form the participant ``unknown``, together with a role of that name; equal turn numbers are ordered by role
+and text, repeated rows stay repeated; rows with a null turn come first; control markers inside texts and roles are broken up and
+line breaks in roles become blanks, so that they can't be taken for structure; an empty table gives no rows; further input columns are ignored. A conversation
+of more than ``turns_per_segment`` turn numbers is rendered in segments by turn number, None renders it whole. Rows of a
+conversation that have no turn number, or the same one, are gathered in one segment however many they are.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from scatterspark.llm.common import table
 START, END = "<|start|>", "<|end|>"
 
 
-def _header(role: Column, speaker: Column, fixed: Column) -> Column:
-    kind = F.when(fixed, role).when(role == speaker, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
+def _header(role: Column, own: Column, fixed: Column) -> Column:
+    for sign, plain in (("<|", "< |"), ("\n", " "), ("\r", " ")):
+        role = F.replace(role, F.lit(sign), F.lit(plain))
+    kind = F.when(fixed, role).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
     return F.concat(F.lit(START), kind, F.lit("\n"))
 
 
-def rotate(turns: DataFrame, fixed_roles: tuple[str, ...] = ("system",), turns_per_segment: int = 256) -> DataFrame:
+def rotate(turns: DataFrame, fixed_roles: tuple[str, ...] = ("system",), turns_per_segment: int | None = 256) -> DataFrame:
     """``(conv_id, perspective, segment, n_turns, rendered, mask array<struct<start,end>>)``.
 
     ``fixed_roles`` take no perspective and keep their role. Mask positions are code points of ``rendered``, end
@@ -32,7 +35,7 @@ def rotate(turns: DataFrame, fixed_roles: tuple[str, ...] = ("system",), turns_p
     """
     t = turns.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / turns_per_segment), F.lit(0)).alias("segment"),
+        F.coalesce(F.floor(F.col("turn") / turns_per_segment) if turns_per_segment else F.lit(0), F.lit(0)).cast("long").alias("segment"),
         F.struct(
             F.col("turn").alias("turn"),
             F.coalesce("role", F.lit("unknown")).alias("role"),
@@ -44,7 +47,7 @@ def rotate(turns: DataFrame, fixed_roles: tuple[str, ...] = ("system",), turns_p
     rows = whole.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
     def add(acc: Column, x: Column) -> Column:
-        head = _header(x["role"], F.col("perspective"), x["role"].isin(*fixed_roles))
+        head = _header(x["role"], x["role"] == F.col("perspective"), x["role"].isin(*fixed_roles))
         start = acc["at"] + F.length(head)
         stop = start + F.length(x["text"]) + len(END)
         span = F.array(F.struct(start.alias("start"), stop.alias("end")))
@@ -78,13 +81,13 @@ def query(spark, sf_dir):
 
 ORACLE = r"""
 with t as (
-  select conv_id, coalesce(floor(turn / 256.0), 0)::bigint as segment, turn, coalesce(role, 'unknown') as role,
+  select conv_id, replace(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10), ' '), chr(13), ' ') as shown, coalesce(floor(turn / 256.0), 0)::bigint as segment, turn, coalesce(role, 'unknown') as role,
          replace(coalesce(text, ''), '<|', '< |') as text from conversations),
 s as (select distinct conv_id as c, role as perspective from t where role <> 'system'),
 j as (
   select conv_id, perspective, segment, turn, role, text,
-         '<|start|>' || case when role = 'system' then role when role = perspective then 'assistant'
-                             else 'user name=' || role end || chr(10) as head
+         '<|start|>' || case when role = 'system' then shown when role = perspective then 'assistant'
+                             else 'user name=' || shown end || chr(10) as head
   from t join s on conv_id is not distinct from c),
 n as (
   select *, row_number() over (partition by conv_id, perspective, segment
