@@ -23,6 +23,18 @@ def test_boundaries_are_optimal(hist, buckets):
     assert cost(got) == brute
 
 
+def test_boundaries_between_bins_of_several_lengths(spark):
+    """The least padding of all choices of bins, and buckets that reach no further than their longest text."""
+    lengths = [300, 301, 301, 302, 900, 905, 905, 2000, 2011, 7000, 7]
+    rows = [(i, n) for i, n in enumerate(lengths)]
+    got = op.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 3, 9000).collect()
+    bounds = sorted({r.bucket for r in got})
+    assert all(b in lengths for b in bounds) and bounds[-1] == 7000
+    tops = [7, 302, 905, 2011]
+    cost = lambda bs: sum(min(b for b in bs if b >= n) - n for n in lengths)
+    assert cost(bounds) == min(cost([*x, 7000]) for x in itertools.combinations(tops, 2))
+
+
 def test_bins_are_upper_edges(spark):
     rows = [(n,) for n in [0, 1, 255, 256, 257, 258, 511, 512, 513, 514, 1023, 1024, 1025, 1030, 99_999]]
     for n, e in spark.createDataFrame(rows, "n long").select("n", op.bin_edge(op.F.col("n"))).collect():
