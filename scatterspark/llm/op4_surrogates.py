@@ -20,12 +20,15 @@ columns are ignored or, in ``pseudonymise``, returned; an empty table gives no r
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scatterspark.llm.common import cut, table
 
-KEY = "scatterspark"
+#: Setting that holds the key; the query draws one at random where it is unset.
+KEY_SETTING = "spark.scatterspark.surrogate.key"
 
 #: Given names by (script, gender).
 GIVEN = {
@@ -176,14 +179,16 @@ def _found(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__m", F.when(hit, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
 
-def redrawn(entities: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFrame:
+def redrawn(entities: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
     """``(entity, surrogate)`` for those of ``entities(what, entity)`` that need an attempt after the first.
 
     A surrogate that is an entity itself, or that a smaller entity of the kind has too, is drawn again.
     """
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = cut(entities.distinct().withColumn("attempt", F.lit(0)))
     for _ in range(max_rounds):
-        s = e.withColumn("surrogate", surrogate(F.col("what"), F.col("entity"), _key(key, F.col("attempt"))))
+        # few bytes, but much to hash: a number given is not cut down to one task
+        s = cut(e.repartition(tasks, "entity").withColumn("surrogate", surrogate(F.col("what"), F.col("entity"), _key(key, F.col("attempt")))))
         taken = e.select("what", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         shared = s.groupBy("what", "surrogate").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).where("n > 1")
         s = s.join(taken, ["what", "surrogate"], "left").join(shared, ["what", "surrogate"], "left")
@@ -194,21 +199,26 @@ def redrawn(entities: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFr
     raise RuntimeError(f"collisions remain after {max_rounds} rounds")
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with surrogates in ``text`` and the number of replacements in ``n_entities``."""
+def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
+    """The documents with surrogates in ``text`` and the number of replacements in ``n_entities``, also where they have that column.
+
+    Whoever has ``key`` can undo the replacements; equal keys give equal surrogates.
+    """
     x = cut(_found(documents.select("doc_id", "text")).where(F.size("__m") > 0).select("doc_id", F.array_distinct("__m").alias("__m")))
     entities = x.select(F.explode("__m").alias("entity")).select(kind(F.col("entity")).alias("what"), "entity")
     again = redrawn(entities, key)
     own = x.select("doc_id", F.explode("__m").alias("entity")).join(again, "entity")
     own = own.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("__own"))
-    y = _found(documents).join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    y = _found(documents.select("doc_id", "text", F.struct("*").alias("__row"))).join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     first = _key(key, F.lit(0))
     new = F.transform("__m", lambda m: F.coalesce(F.element_at(F.col("__own"), m), surrogate(kind(m), m, first)))
     between = F.split("text", ANY, -1)
     text = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    y = y.withColumn("text", F.when(F.size("__m") > 0, text).otherwise(F.col("text"))).withColumn("n_entities", F.size("__m").cast("long"))
-    return y.select(*documents.columns, "n_entities")
+    text = F.when(F.size("__m") > 0, text).otherwise(F.col("text"))
+    rest = [c for c in documents.columns if c != "n_entities"]
+    return y.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in rest], F.size("__m").cast("long").alias("n_entities"))
 
 
 def query(spark, sf_dir):
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from scatterspark.llm import op4_surrogates as op
 
 
+KEY = "scatterspark"
+
+
 def draw(what, before, attempt=0):
-    return int(hashlib.sha256(f"{op.KEY}|{attempt}|{what}|{before}".encode()).hexdigest()[:8], 16)
+    return int(hashlib.sha256(f"{KEY}|{attempt}|{what}|{before}".encode()).hexdigest()[:8], 16)
 
 
 def cipher(s, what, alphabets=op.LETTERS):
@@ -74,7 +77,7 @@ CASES = [
 def test_each_kind_against_plain_python(spark):
     rows = [(i, t.format(e), w, e) for i, (t, w, e) in enumerate((t, w, e) for t, w, es in CASES for e in es)]
     df = spark.createDataFrame(rows, "doc_id long, text string, what string, entity string").withColumn("n", F.lit(1))
-    for r in op.pseudonymise(df).collect():
+    for r in op.pseudonymise(df, KEY).collect():
         new = plain(r.what, r.entity)
         assert (r.text, r.n_entities) == (rows[r.doc_id][1].replace(r.entity, new), 1), r.what
         assert new != r.entity and (len(new) == len(r.entity) or r.what == "ip" or r.entity.split()[0] in sum(op.GIVEN.values(), []))
@@ -87,15 +90,15 @@ def test_each_kind_against_plain_python(spark):
 def test_clean_texts_stay(spark):
     texts = [None, "", "In 2024, 12 of 300 (4%) won 3-2; v1.2.3", "a@b and 999.1.1.1 or 1234567890", "Alice went home", "x " * 50_000, "no.reply at example.com"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [(r.text, r.n_entities) for r in op.pseudonymise(df).orderBy("doc_id").collect()] == [(t, 0) for t in texts]
-    assert op.pseudonymise(df.limit(0)).count() == 0
+    assert [(r.text, r.n_entities) for r in op.pseudonymise(df, KEY).orderBy("doc_id").collect()] == [(t, 0) for t in texts]
+    assert op.pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def test_distinctness_and_coreference(spark):
     rng = np.random.default_rng(1)
     mails = sorted({f"{'abc'[rng.integers(3)]}{'xyz'[rng.integers(3)]}{rng.integers(9)}@m.example.com" for _ in range(80)})
     rows = [(i, f"{m} and {m.upper()} and {m}") for i, m in enumerate(mails)] + [(None, mails[0]), (0, mails[0])]
-    got = op.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = op.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     seen = {}
     for r in got:
         parts = r.text.split(" and ")
@@ -110,17 +113,17 @@ def test_distinctness_and_coreference(spark):
 def test_surrogate_that_exists_is_redrawn(spark):
     a = "123-45-6789"
     b = plain("ssn", a)  # a real entity that is a's first surrogate
-    got = dict(op.redrawn(spark.createDataFrame([("ssn", a), ("ssn", b)], "what string, entity string")).collect())
+    got = dict(op.redrawn(spark.createDataFrame([("ssn", a), ("ssn", b)], "what string, entity string"), KEY).collect())
     assert a in got and got[a] not in (a, b)
     df = spark.createDataFrame([(1, f"id {a};"), (2, f"id {b};"), (3, f"{a} / {b}")], "doc_id long, text string")
-    t = {r.doc_id: r.text for r in op.pseudonymise(df).collect()}
+    t = {r.doc_id: r.text for r in op.pseudonymise(df, KEY).collect()}
     assert t[1] == f"id {got[a]};" and t[3] == f"{got[a]} / {t[2][3:-1]}"
 
 
 @pytest.mark.parametrize("n", [300])
 def test_card_map_is_one_to_one(spark, n):
     df = spark.range(n).select(F.lit("card").alias("what"), F.concat(F.lit("4000 0000 0000 0"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("entity"))
-    got = df.select(op.surrogate(F.col("what"), F.col("entity"), op._key(op.KEY, F.lit(0))).alias("s")).distinct()
+    got = df.select(op.surrogate(F.col("what"), F.col("entity"), op._key(KEY, F.lit(0))).alias("s")).distinct()
     assert got.count() == n
 
 
@@ -129,7 +132,7 @@ def test_wider_forms_leave_nothing_in_clear(spark):
     cases += [("call {}.", e) for e in ("+15551234567", "+49 30 1234567", "+33 6 12 34 56 78", "06 12 34 56 78", "030 1234567")]
     cases += [("then {} came", e) for e in ("John Smith", "Mary Jones", "Peter Falk", "JOHN SMITH", "Анна Петрова")]
     df = spark.createDataFrame([(i, t.format(e)) for i, (t, e) in enumerate(cases)], "doc_id long, text string")
-    got = {r.doc_id: r for r in op.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in op.pseudonymise(df, KEY).collect()}
     for i, (t, e) in enumerate(cases):
         before, after = t.split("{}")
         new = got[i].text[len(before) : len(got[i].text) - len(after)]
@@ -137,3 +140,12 @@ def test_wider_forms_leave_nothing_in_clear(spark):
         assert not set(e.split()) & set(new.split()) - {"+49", "+33"}, (e, new)
     assert got[3].text.startswith("call +1") and got[11].text.split()[1].isupper()
     assert got[11].text.split()[1].title() == got[8].text.split()[1]
+
+
+def test_clashing_columns(spark):
+    text = "write to ann.smith@example.org today"
+    df = spark.createDataFrame([(1, text, 9, "m", "i", "o", "r")], "doc_id long, text string, n_entities int, __m string, __id string, __own string, what string")
+    got = op.pseudonymise(df, KEY)
+    assert got.columns == ["doc_id", "text", "__m", "__id", "__own", "what", "n_entities"]
+    r = got.collect()[0]
+    assert (r["__m"], r["__id"], r["__own"], r["what"], r.n_entities) == ("m", "i", "o", "r", 1) and r.text != text
