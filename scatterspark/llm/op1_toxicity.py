@@ -7,7 +7,7 @@ false positives on neutral mentions.
 
 Training uses a bounded sample, at most ``MAX_TRAIN`` labelled texts in hash order of their ids; all texts are scored,
 in whole. Edge cases: null and empty texts get the score of a text without features; ids may be null (never learned
-from, ``held_out`` null -> true) or repeated (one row each); labels that are null are ignored; without both labels in
+from, ``held_out`` null -> true) or repeated (one row each); labels that are null are ignored, those that contradict one another all count; without both labels in
 the sample the score is the smoothed share of the one seen; other columns are ignored.
 """
 
@@ -145,6 +145,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     schema = "y long, x binary, only array<binary>, swap array<binary>"
     arrow = pa.schema([("y", pa.int64()), ("x", pa.binary()), ("only", pa.list_(pa.binary())), ("swap", pa.list_(pa.binary()))])
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(by_slices(_encode, arrow), schema).collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.x), bytes(r.x), r.y))  # the same order however the tables are dealt out
     ints = lambda b: np.frombuffer(b, np.int32)
     pairs = [(ints(a), ints(b)) for r in rows for a, b in zip(r.only, r.swap)]
     return train([ints(r.x) for r in rows], np.array([r.y for r in rows]), pairs, **options)

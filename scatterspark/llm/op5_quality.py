@@ -6,12 +6,15 @@ sigmoid(U h))), learned from document labels alone, weights the passages; the sc
 
 Training uses a bounded sample, at most ``MAX_TRAIN`` labelled texts in hash order of their ids; all passages of all
 texts are scored. Edge cases: null and empty texts are one empty passage; ids may be null (never learned from,
-``held_out`` true) or repeated; null labels are ignored; without both labels in the sample the score is the smoothed
+``held_out`` true) or repeated; null labels are ignored, labels that
+contradict one another all count; without both labels in the sample the score is the smoothed
 share of the one seen; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,6 +146,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds:
     )
     arrow = pa.schema([("y", pa.int64()), ("x", pa.binary())])
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(by_slices(_encoded, arrow), "y long, x binary").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r.x), bytes(r.x), r.y))  # the same order however the tables are dealt out
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, DIM) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, DIM), np.float32)
     return train(x, np.array([len(b) for b in bags], dtype=int), np.array([r.y for r in rows]))

@@ -6,8 +6,8 @@ to ``DIM`` numbers. ``LANDMARKS`` training texts give the Nyström map phi(s) =
 one-versus-rest kernel ridge regression is solved on phi. As phi is linear in the presence vector, landmarks, K^(-1/2)
 and the ridge weights multiply out to one DIM x languages matrix, and texts are scored by batched matrix products.
 
-Training uses a bounded sample: about ``PER_LANGUAGE`` texts of each language, by hash of their ids; at most
-``MAX_LANGUAGES`` languages, the most frequent ones. All texts are scored, in whole. Edge cases: null texts and texts
+Training uses a bounded sample: about ``PER_LANGUAGE`` texts of each language, by hash of their ids, and all languages
+there are; the model has DIM numbers a language. All texts are scored, in whole. Edge cases: null texts and texts
 without a letter are ``und`` with score 0; null languages and ids are never learned from (a null id is ``held_out``);
 ids may repeat; without any training text everything is ``und``; other columns are ignored.
 """
@@ -30,7 +30,7 @@ MAX_N, DIM = 4, 1 << 15
 #: texts (a few of which may have the wrong language);
 #: texts with fewer than JUDGED n-grams can't be told.
 MARGIN, LOW, JUDGED = 0.8, 0.1, 60
-PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE = 500, 256, 256, 1e-3
+PER_LANGUAGE, LANDMARKS, RIDGE = 500, 256, 1e-3
 LETTER = re.compile(r"[^\W\d_]")
 
 _KEEP = np.arange(256, dtype=np.uint8)
@@ -122,14 +122,11 @@ def train(packed: list[bytes], langs: list[str], landmarks: int = LANDMARKS, rid
 def fit(documents: DataFrame, folds: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, **options) -> Model:
     """Learns from texts with a language whose fold isn't ``held``."""
     d = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    rate = F.lit(0.0)
-    for lang, n in counts:
-        rate = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(rate)
+    rate = d.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))  # a row for each language
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     fn = lambda keys, texts: {"lang": keys, "x": [np.packbits(presence([t])[0]).tobytes() for t in texts]}
     arrow = pa.schema([("lang", pa.string()), ("x", pa.binary())])
-    rows = d.where(uniform < rate).select("lang", "text").mapInArrow(by_slices(fn, arrow), "lang string, x binary").collect()
+    rows = d.join(F.broadcast(rate), (F.col("lang") == F.col("l")) & (uniform < F.col("rate"))).select("lang", "text").mapInArrow(by_slices(fn, arrow), "lang string, x binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(r.x), r.lang))
     return train([bytes(r.x) for r in rows], [r.lang for r in rows], **options)
 
