@@ -15,11 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterspark.llm import op3_packing, op6_language, op7_decontaminate, op8_line_dedup, op10_jaccard_join
-from scatterspark.llm.common import cut, ensure_checkpoint_dir, table
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), F.col("doc_id") == F.col("__id"), "left_anti")
+from scatterspark.llm.common import cut, ensure_checkpoint_dir, table, without
 
 
 def _by_row(stage):
@@ -44,26 +40,26 @@ def _by_row(stage):
 @_by_row
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or that resemble no learned language, go."""
-    return _without(docs, op6_language.unlike(docs, op6_language.fit(docs)))
+    return without(docs, op6_language.unlike(docs, op6_language.fit(docs)))
 
 
 @_by_row
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of similar lines stays; documents left without any words go."""
-    return op8_line_dedup.without_repeats(docs, op8_line_dedup.similar_line_groups(docs))
+    return op8_line_dedup.without_repeats(docs, op8_line_dedup.line_groups(docs))
 
 
 @_by_row
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar documents stays, the one with the smallest id."""
     found = op10_jaccard_join.join_components(docs)
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
 @_by_row
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return _without(docs, op7_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return without(docs, op7_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
