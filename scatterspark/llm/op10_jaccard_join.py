@@ -1,7 +1,7 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix.
 
-Documents with equal sets are one class from the start, known by 128 bits of its set and numbered; a component is named
-by the smallest id in it. The join then runs in steps that
+Documents with equal sets are one class from the start, known by 128 bits of its set; a component is named by the
+smallest id in it. The join then runs in steps that
 each drop only what provably has no link at the threshold t (a link needs overlap >= ceil(t * size) on both sides):
 
 1. Hash-ordered prefixes. Two linked sets share at least k of their size - ceil(t size) + k smallest hashes. A class
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scatterspark.llm.arrow import by_slices
@@ -115,7 +115,9 @@ def join_components(documents: DataFrame, percent: int = PERCENT, words: int = W
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
     members = saved(prefixes(documents, percent, words))
     classes = members.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # a class goes by its smallest id, so that originals head the posting lists; further classes of that id get numbers far below
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "s1", "s2")) > 1
+    classes = saved(classes.withColumn("rep", F.when(again, -(1 << 62) - 1 - F.monotonically_increasing_id()).otherwise(F.col("doc_id"))))
 
     # 1. hash-ordered prefixes: copies let their class through, what stays is decided by other classes in the next step
     tokens = members.select("n", "s1", "s2", F.explode("prefix").alias("h"))
