@@ -15,12 +15,13 @@ Equal vectors are one class from the start and count with their multiplicity. A
 vectors; a task sees two blocks, and returns link counts per vector and a spanning forest, never the pairs.
 
 Edge cases: null labels, null or empty or zero vectors, vectors with a null or non-finite component or of another
-dimension than most link with nothing; repeated ids count as separate vectors that share their row's result; null ids
+dimension than the other one link with nothing; rows that share an id count as separate vectors; null ids
 have no component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,26 +29,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterspark.llm.common import connected_components, cut, table
+from scatterspark.llm.common import connected_components, cut, saved, table
 
 CODE, SIGMAS, RECALL, BUCKET, BLOCK, SEED = 128, 5.0, 0.9999, 256, 2048, 11
 
 
+@functools.lru_cache(maxsize=64)
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+def rotated(x: np.ndarray, code: int = CODE) -> np.ndarray:
+    """x, padded with zeros to ``code`` dimensions, in rotated coordinates."""
+    return x @ rotation(max(code, x.shape[1]), SEED)[: x.shape[1]]
+
+
 def encode(x: np.ndarray, code: int = CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotated unit vectors, their signs (+-1) and correction factors."""
-    dim = max(code, x.shape[1])
-    padded = np.zeros((len(x), dim))
-    padded[:, : x.shape[1]] = x
-    r = padded @ rotation(dim, SEED)
+    dim, r = max(code, x.shape[1]), rotated(x, code)
     signs = np.where(r >= 0, 1.0, -1.0)
     return r, signs, np.abs(r).sum(1) / math.sqrt(dim)
 
 
+def stored(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """What is kept of unit vectors: their sign bits and correction factors."""
+    _, signs, factors = encode(x)
+    return [r.tobytes() for r in np.packbits(signs > 0, axis=1)], factors
+
+
+def signs_of(codes: list[bytes], dim: int) -> np.ndarray:
+    """+-1 from sign bits."""
+    bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, count=max(CODE, dim))
+    return bits * 2.0 - 1
+
+
 def estimates(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased estimates of <a_i, b_j> from a's vectors and b's codes, and their standard error by column."""
     (ra, _, _), (_, sb, fb) = a, b
@@ -99,22 +115,23 @@ def compare(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
     Returns rows (rep, n, other): ``n`` more links of rep, counted with multiplicity, or a forest edge rep - other.
     """
-    band, lo, hi = (int(part[c].iloc[0]) for c in ("band", "lo", "hi"))
+    band, lo, hi, n = (int(part[c].iloc[0]) for c in ("band", "lo", "hi", "n"))
     left = part[part["block"] == lo].sort_values("rep")
     right = part[part["block"] == hi].sort_values("rep") if hi != lo else left
     if not len(left) or not len(right):
         return pd.DataFrame({"rep": [], "n": [], "other": []})
-    xa, xb = np.array(left["x"].tolist()), np.array(right["x"].tolist())
-    est, err = estimates(encode(xa), encode(xb))
+    va, vb = np.array(left["v"].tolist()), np.array(right["v"].tolist())
+    na, nb = np.sqrt((va * va).sum(1)), np.sqrt((vb * vb).sum(1))
+    dim = va.shape[1]
+    est, err = estimates((rotated(va / na[:, None]), None, None), (None, signs_of(right["code"].tolist(), dim), right["factor"].to_numpy()))
     i, j = np.nonzero(est + SIGMAS * err >= threshold)
     if hi == lo:
         i, j = i[i < j], j[i < j]
     if band and len(i):
-        ka, kb = np.array(left["bands"].tolist()), np.array(right["bands"].tolist())
-        new = ~(ka[i, :band] == kb[j, :band]).any(1)
+        bits, count = bands(n, threshold)
+        ka, kb = band_keys(va / na[:, None], bits, count)[:, :band], band_keys(vb / nb[:, None], bits, count)[:, :band]
+        new = np.concatenate([~(ka[i[k : k + (1 << 17)]] == kb[j[k : k + (1 << 17)]]).any(1) for k in range(0, len(i), 1 << 17)])
         i, j = i[new], j[new]
-    va, vb = np.array(left["v"].tolist()), np.array(right["v"].tolist())
-    na, nb = np.sqrt((va * va).sum(1)), np.sqrt((vb * vb).sum(1))
     keep = np.zeros(len(i), bool)
     for k in range(0, len(i), 1 << 17):
         p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
@@ -136,55 +153,50 @@ def compare(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row."""
-    spark = vectors.sparkSession
+    kind = vectors.schema["label"].dataType.simpleString()
     v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    fine = F.col("label").isNotNull() & (F.size("v") > 0) & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
-    good = v.where(fine & F.col("vec_id").isNotNull()).select("vec_id", "label", "v", F.size("v").alias("dim"))
-    # classes of equal vectors
-    member = cut(good.select("vec_id", "label", F.xxhash64("v").alias("h1"), F.md5(F.to_json("v")).alias("h2"), "v"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # divided by the power of two at the largest component, which is exact and keeps squares within range
+    v = v.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    fine = F.col("label").isNotNull() & (F.size("v") > 0) & ~odd & (F.col("top") > 0) & F.col("vec_id").isNotNull()
+    fine = F.coalesce(fine, F.lit(False))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2("top")))
+    good = v.where(fine).select("vec_id", "label", F.transform("v", lambda x: x / unit).alias("v"))
+    # classes of equal vectors, numbered, as rows that share an id may hold other vectors
     key = ["label", "h1", "h2"]
-    classes = cut(member.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    sizes = {(r["label"], r["d"]): r["n"] for r in classes.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    plan = {k: bands(n, threshold) for k, n in sizes.items()}
-    shared = spark.sparkContext.broadcast(plan)  # a row for each label and dimension
+    member = saved(good.select("vec_id", "label", F.xxhash64("v").alias("h1"), F.md5(F.to_json("v")).alias("h2"), "v"))
+    classes = member.groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = saved(classes.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rep")))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
 
     def place(frames):
         for f in frames:
-            for (label, d), g in f.groupby([f["label"], f["v"].map(len)], sort=False):
-                bits, count = shared.value[label, d]
+            for (n, _), g in f.groupby(["n", "dim"], sort=False):
                 x = np.array(g["v"].tolist())
                 x = x / np.sqrt((x * x).sum(1))[:, None]
+                bits, count = bands(int(n), threshold)
                 keys = band_keys(x, bits, count)
+                code, factor = stored(x)
                 for b in range(count):
-                    yield pd.DataFrame({"label": label, "dim": d, "band": b, "key": keys[:, b], "rep": g["rep"].to_numpy(), "copies": g["copies"].to_numpy(), "bands": list(keys), "v": g["v"].tolist()})
+                    yield g.assign(band=b, key=keys[:, b], code=code, factor=factor)[["label", "dim", "n", "band", "key", "rep", "copies", "code", "factor", "v"]]
 
-    placed = classes.select("label", "rep", "copies", "v").mapInPandas(
-        place, "label int, dim int, band int, key long, rep long, copies long, bands array<long>, v array<double>"
-    )
+    placed = classes.join(sizes, ["label", "dim"]).select("label", "dim", "n", "rep", "copies", "v")
+    placed = placed.mapInPandas(place, f"label {kind}, dim int, n long, band int, key long, rep long, copies long, code binary, factor double, v array<double>")
     bucket = ["label", "dim", "band", "key"]
     counts = placed.groupBy(*bucket).agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     blocked = placed.join(counts.where("m > 1").select(*bucket, blocks.alias("nb")), bucket).withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
-    tasks = blocked.select(*bucket, "rep", "copies", "bands", "v", "block", F.explode(every).alias("p")).select("*", "p.lo", "p.hi").drop("p")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["v"].tolist())
-        part["x"] = list(x / np.sqrt((x * x).sum(1))[:, None])
-        return compare(part, threshold)
+    tasks = blocked.select(*bucket, "n", "rep", "copies", "code", "factor", "v", "block", F.explode(every).alias("p")).select("*", "p.lo", "p.hi").drop("p")
 
-    found = cut(tasks.groupBy(*bucket, "lo", "hi").applyInPandas(run, "rep long, n long, other long"))
+    found = cut(tasks.groupBy(*bucket, "lo", "hi").applyInPandas(lambda part: compare(part, threshold), "rep long, n long, other long"))
     links = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     component = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    result = (
-        classes.select(*key, "rep", "copies")
-        .join(links, "rep", "left")
-        .join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    parts = classes.select(*key, "rep", "copies", "first").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    top = parts.groupBy("part").agg(F.min("first").alias("component_id"))
+    result = parts.join(top, "part").join(links, "rep", "left").select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = member.select("vec_id", *key).join(result, key).select("vec_id", "n_links", "component_id")
-    alone = v.where(~F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = v.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -112,3 +112,63 @@ def test_language(tables):
             assert r.lang_pred == truth[r.doc_id]
     none = op6.identify(docs.limit(2), op6.fit(docs.limit(0))).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
+@pytest.mark.parametrize("op", [op1, op5])
+def test_scores_do_not_depend_on_the_layout(tables, op):
+    docs, labels, _ = tables
+    a, b = (op.score(docs, op.fit(docs.repartition(n, "text"), labels.repartition(n))).collect() for n in (1, 7))
+    of = lambda rows: sorted((r.doc_id or -1, r.score) for r in rows)
+    assert of(a) == of(b)
+
+
+def test_labels_that_contradict(spark, tables):
+    docs, labels, _ = tables
+    both = labels.union(spark.createDataFrame([(1, 0, 0), (1, 1, 1)], labels.schema))
+    for op in (op1, op5):
+        assert op.score(docs, op.fit(docs, both)).count() == 406
+
+
+def test_toxicity_minimises_its_objective():
+    """The trained weights against a plain loop over the objective: no single weight can be moved to lower it much."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(200)]
+    y = np.array([int(3 in r) if rng.random() < 0.8 else int(rng.random() < 0.5) for r in rows])
+    pairs = [(np.array([3]), np.array([4])), (np.array([5]), np.array([6]))]
+    m = op1.train(rows, y, pairs, weight=0.5, steps=600)
+    kept = np.flatnonzero(m.weights)
+    assert 3 in kept or 4 in kept
+
+    def objective(w, b):
+        total = 0.0
+        for r, t in zip(rows, y):
+            z = sum(w[i] for i in r) + b
+            total += np.log1p(np.exp(-z if t else z)) / len(rows)
+        for p, q in pairs:
+            total += 0.5 / len(pairs) * (sum(w[i] for i in p) - sum(w[i] for i in q)) ** 2
+        return total + 0.5e-4 * sum(w[i] ** 2 for i in range(12))
+
+    w = m.weights[:12].astype(float)
+    best = objective(w, m.bias)
+    for i in kept:
+        for step in (-0.02, 0.02):
+            v = w.copy()
+            v[i] += step
+            assert objective(v, m.bias) > best - 2e-4
+    assert objective(np.zeros(12), np.log(y.mean() / (1 - y.mean()))) > best
+
+
+def test_attention_by_a_plain_loop():
+    rng = np.random.default_rng(8)
+    x, sizes = rng.normal(size=(9, op5.DIM)), np.array([1, 3, 5])
+    shapes = ((op5.DIM, op5.HIDDEN), (op5.HIDDEN,), (op5.HIDDEN, op5.GATE), (op5.HIDDEN, op5.GATE), (op5.GATE,), (op5.HIDDEN,))
+    w, b, v, u, g, c = (rng.normal(size=s) * 0.3 for s in shapes)
+    m = op5.Model(np.zeros(op5.DIM), np.ones(op5.DIM), [w, b, v, u, g, c, 0.2])
+    a, score = m.attention(x, sizes)
+    at = 0
+    for n, s in zip(sizes, score):
+        h = [np.tanh(x[i] @ w + b) for i in range(at, at + n)]
+        e = [np.exp(sum(g[k] * np.tanh(p @ v[:, k]) / (1 + np.exp(-(p @ u[:, k]))) for k in range(op5.GATE))) for p in h]
+        z = sum(k / sum(e) * p for k, p in zip(e, h))
+        assert a[at : at + n] == pytest.approx(np.array(e) / sum(e)) and s == pytest.approx(1 / (1 + np.exp(-(z @ c + 0.2))))
+        at += n

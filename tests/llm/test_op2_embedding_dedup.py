@@ -80,3 +80,18 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     got = sorted(((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in op.near_duplicates(df).collect()))
     assert got == [(-1, 0, None, False), (3, 1, 3, True), (3, 1, 3, True)]
     assert op.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_at_the_ends_of_the_range_and_under_one_id(spark):
+    rows = [(1, [1e200, 1e200], 5), (2, [1e-200, 1e-200], 5), (3, [5e-324, 5e-324], 5), (4, [1.7e308, -1.7e308], 5), (7, [1.0, 3.0], 5), (7, [-1.0, 3.0], 5), (8, [1.1, 3.0], 5), (9, [-1.1, 3.0], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in op.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+
+
+def test_stored_codes():
+    x = np.random.default_rng(7).normal(size=(20, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    _, signs, factors = op.encode(x)
+    codes, f = op.stored(x)
+    assert (op.signs_of(codes, 64) == signs).all() and (f == factors).all() and len(codes[0]) == op.CODE // 8
