@@ -37,12 +37,13 @@ def distances(edges: DataFrame, sources: list[int], max_rounds: int = 200) -> Da
 
 
 def landmarks(edges: DataFrame, m: int, first: int) -> list[int]:
-    """Farthest-point landmarks: each next one has the largest distance to those before it (smallest id on ties)."""
+    """Farthest-point landmarks: each next one has the largest distance to those before it (smallest id on ties),
+    which is infinite in components without one."""
     chosen = [first]
-    near = None
+    near = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("dist", F.lit(float("inf"))))
     while len(chosen) < m:
-        d = distances(edges, [chosen[-1]]).select("node", "dist")
-        near = cut(d if near is None else near.join(d.withColumnRenamed("dist", "d2"), "node").select("node", F.least("dist", "d2").alias("dist")))
+        d = distances(edges, [chosen[-1]]).select("node", F.col("dist").alias("d2"))
+        near = cut(near.join(d, "node", "left").select("node", F.least("dist", F.coalesce("d2", F.lit(float("inf")))).alias("dist")))
         best = near.agg(F.max(F.struct("dist", (-F.col("node")).alias("minus"))).alias("b")).first()["b"]
         if best is None or best["dist"] <= 0:
             break
@@ -76,12 +77,21 @@ def mds(d: np.ndarray, dim: int) -> tuple[np.ndarray, float]:
 
 
 def landmark_isomap(edges: DataFrame, m: int, dim: int, first: int) -> DataFrame:
-    """``(node, x array<double>)``: landmarks embedded by classical scaling, the other nodes by their distances."""
+    """``(node, x array<double>)``: landmarks embedded by classical scaling, the other nodes by their distances.
+
+    Where there is no path, ten times the largest distance between landmarks stands for the distance.
+    """
     ids = landmarks(edges, m, first)
-    d = distances(edges, ids).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("source", "dist"))).alias("ds"))
     order = sorted(ids)
+    known = distances(edges, ids)
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    every = every.select("node", F.explode(F.array(*[F.lit(i) for i in order])).alias("source"))
+    known = cut(every.join(known, ["node", "source"], "left").select("node", "source", F.coalesce("dist", F.lit(float("inf"))).alias("dist")))
+    d = known.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("source", "dist"))).alias("ds"))  # m entries each
     rows = {r["node"]: [x["dist"] for x in r["ds"]] for r in d.where(F.col("node").isin(ids)).collect()}  # m rows
     dm = np.array([rows[i] for i in order])
+    far = 10 * (dm[np.isfinite(dm)].max() or 1.0)
+    dm = np.where(np.isfinite(dm), dm, far)
     n = len(order)
     h = np.eye(n) - 1 / n
     value, vector = np.linalg.eigh(-0.5 * h @ (dm * dm) @ h)
@@ -95,6 +105,7 @@ def landmark_isomap(edges: DataFrame, m: int, dim: int, first: int) -> DataFrame
         for f in frames:
             if len(f):
                 q = np.array([[x["dist"] for x in r] for r in f["ds"]])
+                q = np.where(np.isfinite(q), q, far)
                 yield pd.DataFrame({"node": f["node"], "x": list(0.5 * (mean - q * q) @ back.T)})
 
     return d.mapInPandas(fn, "node long, x array<double>")

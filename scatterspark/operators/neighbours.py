@@ -127,9 +127,12 @@ def min_distance(points: DataFrame) -> DataFrame:
 def projection_buckets(points: DataFrame, dim: int, levels: int, seed: int) -> DataFrame:
     """Leaves of a random projection tree: at each level the median of a seeded direction of the node splits it."""
     x = points.select("id", "p", F.lit(1).cast("long").alias("path"))
+    uniform = lambda i, salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("path"), i), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    normal = lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))
     for level in range(levels):
-        r = [F.lit(float(v)) for v in np.random.default_rng([seed, level]).normal(size=dim)]
-        x = x.withColumn("t", F.aggregate(F.zip_with("p", F.array(*r), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        if level % 2 == 0:
+            x = cut(x)  # each level reads the one before twice
+        x = x.withColumn("t", F.aggregate(F.transform("p", lambda v, i: v * normal(i)), F.lit(0.0), lambda s, v: s + v))
         mid = x.groupBy("path").agg(F.percentile_approx("t", 0.5, 10000).alias("mid"))
         x = x.join(mid, "path").select("id", "p", (F.col("path") * 2 + (F.col("t") > F.col("mid")).cast("long")).alias("path"))
     return cut(x)

@@ -194,8 +194,9 @@ def inverse_min_level(t: DataFrame, coefficients: DataFrame, min_level: int) ->
 
 
 def node_energies(coefficients: DataFrame) -> DataFrame:
-    """``(node, own, total)``: energy of a node's samplets, and of its whole subtree."""
-    own = coefficients.where("kind = 's'").groupBy("node").agg(F.sum(F.col("c") * F.col("c")).alias("own"))
+    """``(node, own, total)``: energy of a node's samplets (and of the scaling coefficients, which are the root's), and of
+    its whole subtree."""
+    own = coefficients.groupBy("node").agg(F.sum(F.col("c") * F.col("c")).alias("own"))
     up = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("node").cast("double"))).cast("int")), lambda k: F.floor(F.col("node") / F.pow(F.lit(2.0), k)).cast("long"))
     total = own.select("own", F.explode(up).alias("node")).groupBy("node").agg(F.sum("own").alias("total"))
     return total.join(own, "node", "left").select("node", F.coalesce("own", F.lit(0.0)).alias("own"), "total")
@@ -250,12 +251,15 @@ def a_posteriori(triplets: DataFrame, threshold: float) -> DataFrame:
 
 
 def a_posteriori_fast(triplets: DataFrame, threshold: float) -> DataFrame:
-    """As ``a_posteriori`` by whole decades of |v|: 17 sums decide, so no global sort is needed."""
+    """The triplets without the smallest decades of |v| whose Frobenius norm stays below threshold * the total norm; the
+    diagonal counts in its decades but always stays. 17 sums decide, so no global sort is needed."""
     decade = F.greatest(F.lit(0), F.least(F.lit(16), F.when(F.col("v") == 0, F.lit(16)).otherwise(-F.floor(F.log10(F.abs("v")))))).cast("int")
-    x = triplets.withColumn("decade", decade)
-    sums = x.where("i != j").groupBy("decade").agg(F.sum(F.col("v") * F.col("v")).alias("s"))  # 17 rows
+    from scatterspark.session import cut
+
+    x = cut(triplets.withColumn("decade", decade))  # read by the sums and by the cut
+    sums = x.groupBy("decade").agg(F.sum(F.col("v") * F.col("v")).alias("s"))  # 17 rows
     tail = sums.withColumn("tail", F.sum("s").over(Window.orderBy(F.desc("decade"))))
-    total = triplets.agg(F.sum(F.col("v") * F.col("v")).alias("t"))
+    total = sums.agg(F.sum("s").alias("t"))
     gone = tail.crossJoin(F.broadcast(total)).where(F.col("tail") < threshold * threshold * F.col("t")).select("decade")
     off = x.where("i != j").join(F.broadcast(gone), "decade", "left_anti")
-    return triplets.where("i = j").select("i", "j", "v").union(off.select("i", "j", "v"))
+    return x.where("i = j").select("i", "j", "v").union(off.select("i", "j", "v"))

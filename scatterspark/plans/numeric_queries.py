@@ -194,7 +194,7 @@ def _coefficients(spark, sf_dir, subtree=samplets.SUBTREE):
 
 def _energies(subtree):
     def query(spark, sf_dir):
-        e = samplets.node_energies(_coefficients(spark, sf_dir, subtree)[1])
+        e = samplets.node_energies(_coefficients(spark, sf_dir, subtree)[1].where("kind = 's'"))
         return e.select("node", F.round(F.col("own") + 3e-6, 4).alias("own"), F.round(F.col("total") + 3e-6, 4).alias("total"))
 
     sql = with_points(
@@ -226,7 +226,7 @@ def active(spark, sf_dir):
 
 def _energy_coefficients(spark, sf_dir):
     """One coefficient a node, the root of its energy: what the Haar formula states."""
-    e = samplets.node_energies(_coefficients(spark, sf_dir)[1])
+    e = samplets.node_energies(_coefficients(spark, sf_dir)[1].where("kind = 's'"))
     return e.select("node", F.lit(0).alias("k"), F.lit("s").alias("kind"), F.sqrt(F.round(F.col("own") + 3e-6, 4)).alias("c"))
 
 
@@ -273,16 +273,31 @@ register("samplet_invariants", samplet_invariants, _true(8))
 
 
 def adaptive(spark, sf_dir):
-    """The kept tree holds at least the energy asked for, contains the root, and keeps siblings together."""
-    e = samplets.node_energies(_coefficients(spark, sf_dir)[1]).cache()
-    total = e.where("node = 1").first()["total"]
-    kept = samplets.adaptive_tree(e, 0.2 * total)
-    own = kept.join(e, "node").agg(F.sum("own"), F.min("node")).first()
-    odd = kept.where("node > 1").groupBy(F.floor(F.col("node") / 2)).count().where("count != 2").count()
-    return _flag(spark, own[0] >= 0.5 * total, own[1] == 1, odd == 0)
+    """The kept nodes and their modified energies, for prices in thousands above 0.9."""
+    x = points.part2(spark, sf_dir).select("id", (F.col("f") / 1e3 - 0.9).alias("f"))
+    e = cut(samplets.node_energies(samplets.transform(samplets.basis(_tree(spark, sf_dir), 2, 0), x)))
+    return samplets.adaptive_tree(e, 0.02).select("node", r6(F.col("et")).alias("et"))
 
 
-register("adaptive_tree_search", adaptive, _true(3))
+register(
+    "adaptive_tree_search",
+    adaptive,
+    with_points(
+        "part2",
+        f"select node, {sql_r6('et')} as et from kept union select r.node, {sql_r6('r.et')} from r where r.node // 2 in (select node // 2 from kept where node > 1)",
+        *[x.replace("unnest(range(0, 7)) as k from h6", "unnest(range(0, 7)) as k from (select * replace (f / 1e3::double - 0.9::double as f) from h6)") for x in _HAAR],
+        "eo as (select en.node::bigint as node, own + case when en.node = 1 then s * s / n else 0 end as own from en join st using (node))",
+        "tt as (select node, sum(own) as total from (select (node >> k) as node, own from eo, range(0, 7) t(k) where (node >> k) > 0) group by node)",
+        "ee as materialized (select node, own, total, total - own as sons from eo join tt using (node))",
+        *[
+            f"r{k} as materialized (" + ("select node, total as et from ee where node = 1" if k == 0 else f"select c.node, f.sons * r.et / (f.total + r.et + 2.220446049250313e-16::double) as et from r{k - 1} r join ee f on r.node = f.node join ee c on c.node // 2 = f.node") + ")"
+            for k in range(7)
+        ],
+        "r as materialized (" + " union all ".join(f"select * from r{k}" for k in range(7)) + ")",
+        "ranked as (select *, coalesce(sum(et) over (order by et desc, node rows between unbounded preceding and 1 preceding), 0) as before from r)",
+        "kept as (select node, et from ranked where (select sum(et) from r) - before >= 0.02::double)",
+    ),
+)
 
 
 # thresholding of a small kernel matrix
@@ -310,8 +325,9 @@ register(
         "e64",
         "select i, j, v from x where i = j union all select i, j, v from o where k not in (select k from g where s < 0.05::double * 0.05::double * (select sum(v*v) from x))",
         _TRIPLETS,
-        "o as (select *, greatest(0, least(16, case when v = 0 then 16 else -floor(log10(abs(v))) end)) as k from x where i <> j)",
-        "g as (select k, sum(sum(v*v)) over (order by k desc) as s from o group by k)",
+        "d as (select *, greatest(0, least(16, case when v = 0 then 16 else -floor(log10(abs(v))) end)) as k from x)",
+        "o as (select * from d where i <> j)",
+        "g as (select k, sum(sum(v*v)) over (order by k desc) as s from d group by k)",
     ),
 )
 register(

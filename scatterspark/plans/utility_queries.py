@@ -119,6 +119,26 @@ def local_inverse_rows(spark, sf_dir):
 register("local_inverse", local_inverse_rows, "select p_partkey as i, 1.0::double as s from part")
 
 
+def local_root_rows(spark, sf_dir):
+    """Rows of local inverse square roots: all entries of neighbourhoods of one or two points, the squared length of others."""
+    v = sparse.local_inverse(points.part2(spark, sf_dir), CovarianceKernel("exponential", 0.5), 0.0101, 2, 0.1, root=True)
+    own = F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0))
+    s = v.groupBy("i").agg(F.count("*").alias("n"), own.alias("own"), (F.sum("v") - own).alias("other"))
+    return s.select("i", "n", F.when(F.col("n") <= 2, r6(F.col("own"))).alias("own"), F.when(F.col("n") <= 2, r6(F.col("other"))).alias("other"))
+
+
+register(
+    "local_inverse_root",
+    local_root_rows,
+    with_points(
+        "part2",
+        f"""select i, n, case when n = 1 then {sql_r6('1 / sqrt(1.1::double)')} when n = 2 then {sql_r6('(1 / sqrt(1.1 + k) + 1 / sqrt(1.1 - k)) / 2')} end as own,
+        case when n = 1 then 0.0::double when n = 2 then {sql_r6('(1 / sqrt(1.1 + k) - 1 / sqrt(1.1 - k)) / 2')} end as other from w""",
+        f"w as (select a.id as i, count(*) as n, sum(case when a.id = b.id then 0 else exp(-sqrt({sq('a.p', 'b.p', 2)}) / 0.5::double) end) as k from p a, p b where sqrt({sq('a.p', 'b.p', 2)}) < 0.0101::double group by a.id)",
+    ),
+)
+
+
 def solver_invariants(spark, sf_dir):
     x = points.part2(spark, sf_dir)
     e = neighbours.sym_eps_nn(x, 0.03, 2).select("i", "j", (-F.exp(-F.col("dist") * 50)).alias("v"))

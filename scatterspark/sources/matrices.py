@@ -7,14 +7,20 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scatterspark.session import cut
+
 
 def read_ascii(spark: SparkSession, path: str) -> DataFrame:
-    """``(row, v array<double>)`` of whitespace-separated numbers; all rows must have one length."""
-    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.trim("value").alias("value")).where("value != ''")
-    out = t.select("row", F.split("value", r"\s+").cast("array<double>").alias("v"))
+    """``(row, v array<double>)`` of whitespace-separated numbers, rows numbered from 0; all rows must have one length."""
+    t = spark.read.text(path).select(F.trim("value").alias("value")).where("value != ''")
+    t = cut(t.select(F.monotonically_increasing_id().alias("m"), F.split("value", r"\s+").cast("array<double>").alias("v")))
+    counts = t.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("part", before.alias("before")))
+    out = t.join(offsets, F.shiftright("m", 33) == F.col("part")).select((F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("row"), "v")
     ends = out.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
     if ends["a"] != ends["b"]:
         raise ValueError(f"ragged rows: {ends['a']} to {ends['b']} numbers")

@@ -67,3 +67,14 @@ def test_l1_solution_is_optimal():
     z = semismooth_newton(m, y, w, 2000)
     g = m.T @ (m @ z - y)
     assert np.all(np.abs(g[z == 0]) <= w[z == 0] + 1e-6) and np.abs(g[z != 0] + w[z != 0] * np.sign(z[z != 0])).max() < 1e-6
+
+
+def test_row_numbers_over_several_files(spark, tmp_path):
+    from scatterspark.sources import matrices
+
+    for k in range(3):
+        (tmp_path / f"part-{k}").write_text("\n".join(f"{10 * k + i} 1.5" for i in range(4)) + "\n\n")
+    got = matrices.read_ascii(spark, str(tmp_path)).collect()
+    assert sorted(r.row for r in got) == list(range(12))
+    by = {r.v[0]: r.row for r in got}
+    assert all(by[10.0 * k + i + 1] == by[10.0 * k + i] + 1 for k in range(3) for i in range(3))
