@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,4 +49,22 @@ def saved(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables saved inside are deleted at the end: what leaves must not read them any more, so it has to be cut first."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _scratch.pop():
+            own = hadoop(path)
+            own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
