@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterspark.llm import op3_packing, op6_language, op7_decontaminate, op8_line_dedup, op10_jaccard_join
-from scatterspark.llm.common import cut, ensure_checkpoint_dir, table, without
+from scatterspark.llm.common import cut, ensure_checkpoint_dir, scratch, table, without
 
 
 def _by_row(stage):
@@ -46,14 +46,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_by_row
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of similar lines stays; documents left without any words go."""
-    return op8_line_dedup.without_repeats(docs, op8_line_dedup.line_groups(docs))
+    with scratch(spark):
+        return op8_line_dedup.without_repeats(docs, op8_line_dedup.line_groups(docs))
 
 
 @_by_row
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar documents stays, the one with the smallest id."""
-    found = op10_jaccard_join.join_components(docs)
-    return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    with scratch(spark):
+        found = op10_jaccard_join.join_components(docs)
+        return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
 @_by_row
