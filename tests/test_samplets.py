@@ -36,3 +36,22 @@ def test_orthonormal_with_vanishing_moments(spark, level, subtree, q):
 def test_entries_of_a_large_leaf_are_few(spark):
     _, m = members(spark, 3000, 0, 2)
     assert samplets.basis(m, 2, 0).count() < 3000 * 25  # 9 million before
+
+
+def test_orthonormality_is_tested_without_a_dense_matrix(spark, monkeypatch):
+    import pyspark.sql.classic.dataframe as classic
+
+    from scatterspark.plans.numeric_queries import _orthonormal, samplet_invariants
+
+    _, m = members(spark, 200, 2, 2)
+    t = samplets.basis(m, 2, 1)
+    square, off = _orthonormal(t)
+    assert square and off < 1e-11
+    assert _orthonormal(t.selectExpr("node", "k", "kind", "id", "v * if(id = 7, 1.1, 1) as v"))[1] > 0.01
+    assert not _orthonormal(t.where("kind = 's'"))[0]
+
+    def gathered(self):
+        raise AssertionError("a whole table on the driver")
+
+    monkeypatch.setattr(classic.DataFrame, "toPandas", gathered)
+    assert all(samplet_invariants(spark, "/root/testdata/sf0.001").first())
