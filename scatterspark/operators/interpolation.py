@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scatterspark.functions import geometry, polynomials
 from scatterspark.functions.kernels import CovarianceKernel
 from scatterspark.functions.multiindex import total_degree
+from scatterspark.operators.hmatrix import everywhere, places, product
 from scatterspark.session import cut
 
 
@@ -140,6 +141,8 @@ def multiply(members: DataFrame, nodes: DataFrame, pattern: DataFrame, kernel: C
     block pattern; nothing of K is stored but what one task holds of a block."""
     levels = nodes.agg(F.max("level")).first()[0] or 0
     rank = len(interpolator.points)
+    every = members
+    members, x = places(members, x)
     boxes = nodes.select("path", "lo", "hi")
     pattern = cut(block_kinds(pattern, rank))
     a = coefficients(members, nodes, interpolator, x, levels)
@@ -173,8 +176,8 @@ def multiply(members: DataFrame, nodes: DataFrame, pattern: DataFrame, kernel: C
 
     def dense(g: pd.DataFrame) -> pd.DataFrame:
         r, c = g[g["side"] == 0], g[g["side"] == 1]
-        y = kernel.matrix(np.array(r["p"].tolist()), np.array(c["p"].tolist())) @ c["x"].to_numpy()
+        y = product(kernel, np.array(r["p"].tolist()), np.array(c["p"].tolist()), c["x"].to_numpy())
         return pd.DataFrame({"id": r["id"], "y": y})
 
     close = rows.union(cols).groupBy("ra", "rb").applyInPandas(dense, "id long, y double")
-    return from_far.union(close).groupBy("id").agg(F.sum("y").alias("y"))
+    return everywhere(every, members, from_far.union(close).groupBy("id").agg(F.sum("y").alias("y")))
