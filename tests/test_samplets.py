@@ -55,3 +55,22 @@ def test_orthonormality_is_tested_without_a_dense_matrix(spark, monkeypatch):
 
     monkeypatch.setattr(classic.DataFrame, "toPandas", gathered)
     assert all(samplet_invariants(spark, "/root/testdata/sf0.001").first())
+
+
+def test_compressed_kernel_holds_strips(spark):
+    from scatterspark.functions.kernels import CovarianceKernel
+    from scatterspark.operators import orders
+
+    class Strips:
+        def matrix(self, p, q):
+            assert len(p) * len(q) <= 2000
+            return CovarianceKernel("exponential", 0.5).matrix(p, q)
+
+    p, m = members(spark, 200, 2, 2)
+    kernel = CovarianceKernel("exponential", 0.5)
+    got = orders.compressed_kernel(m, Strips(), 2, 1, entries=2000).toPandas()
+    whole = kernel.matrix(p, p)
+    twice = np.where(got["i"] == got["j"], 1, 2)
+    assert (twice * got["v"] ** 2).sum() == pytest.approx((whole**2).sum())
+    assert got[got["i"] == got["j"]]["v"].sum() == pytest.approx(np.trace(whole))
+    assert not got.duplicated(["i", "j"]).any()
