@@ -44,3 +44,13 @@ def test_orders_of_leaves_of_different_depth(spark):
     rows = [(5, 2, 1), (1, 6, 2), (9, 6, 2), (4, 7, 2)]
     members = spark.createDataFrame(rows, "id long, path long, level int")
     assert {r.id: r.pos for r in orders.cluster_order(members).collect()} == {5: 0, 1: 1, 9: 2, 4: 3}
+
+
+def test_scaling_of_points_without_their_distances(spark):
+    p = np.random.default_rng(2).random((150, 3))
+    df = spark.createDataFrame([(7 * i, x.tolist()) for i, x in enumerate(p)], "id long, p array<double>").repartition(3)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    ids, y, lost = graphs.mds_of_points(df, 3)
+    want, none = graphs.mds(d, 3)
+    assert ids == [7 * i for i in range(150)] and abs(lost) < 1e-10 and abs(none) < 1e-10
+    assert y == pytest.approx(want, abs=1e-9)
