@@ -74,3 +74,43 @@ def test_compressed_kernel_holds_strips(spark):
     assert (twice * got["v"] ** 2).sum() == pytest.approx((whole**2).sum())
     assert got[got["i"] == got["j"]]["v"].sum() == pytest.approx(np.trace(whole))
     assert not got.duplicated(["i", "j"]).any()
+
+
+@pytest.mark.parametrize("level,subtree,q", [(0, 1000, 0), (3, 1000, 1), (2, 60, 1), (1, 20, 0)])
+def test_matrix_there_and_back_by_pairs_of_leaves(spark, level, subtree, q):
+    from scatterspark.operators import orders
+
+    p, m = members(spark, 200, level, 2)
+    t = samplets.basis(m, 2, q, subtree, near=True)
+    rows = t.join(orders.coefficient_numbers(t), ["node", "k", "kind"]).toPandas()
+    dense = np.zeros((200, 200))
+    dense[rows["i"], rows["id"]] = rows["v"]
+    assert dense @ dense.T == pytest.approx(np.eye(200), abs=1e-11)
+    a = np.zeros((200, 200))
+    i = np.arange(198)
+    a[i, i], a[i, i + 2] = 2.0, 0.1 + i / 100  # not symmetric; most pairs of leaves have no entry
+    x, y = np.nonzero(a)
+    half = spark.createDataFrame([(int(r), int(c), float(a[r, c]) / 2) for r, c in zip(x, y)], "i long, j long, v double")
+    b = orders.transform_matrix(t, half.union(half), m)
+    got = b.toPandas()
+    assert not got.duplicated(["i", "j"]).any()
+    there = np.zeros((200, 200))
+    there[got["i"], got["j"]] = got["v"]
+    assert there == pytest.approx(dense @ a @ dense.T, abs=1e-11)
+    back = orders.inverse_transform_matrix(t, b, m).toPandas()
+    home = np.zeros((200, 200))
+    home[back["i"], back["j"]] = back["v"]
+    assert home == pytest.approx(a, abs=1e-11)
+    met = {(r * (1 << level) // 200, c * (1 << level) // 200) for r, c in zip(x, y)}
+    assert {(r * (1 << level) // 200, c * (1 << level) // 200) for r, c in zip(back["i"], back["j"])} <= met  # all pairs before
+
+
+def test_pieces_of_a_leaf_by_place(spark):
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 40, (400, 2)) / 40.0
+    m = spark.createDataFrame([(i, p[i].tolist(), 1, 0) for i in range(400)], "id long, p array<double>, path long, level int")
+    spread = {}
+    for near in (False, True):
+        t = samplets.basis(m, 2, 0, near=near).where("kind = 's'").toPandas()
+        spread[near] = np.mean([np.ptp(p[g["id"]], axis=0).max() for _, g in t.groupby("k")])
+    assert spread[True] < spread[False] / 2
