@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scatterspark.llm.arrow import by_slices
-from scatterspark.llm.common import connected_components, saved, table
+from scatterspark.llm.common import connected_components, forget, saved, table
 from scatterspark.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT, GROUP, SHARE = 5, 75, 64, 0.1
@@ -113,19 +113,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join_components(documents: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
-    members = saved(prefixes(documents, percent, words))
+    rows = saved(prefixes(documents, percent, words))
+    members = saved(rows.drop("prefix"))
     classes = members.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     # a class goes by its smallest id, so that originals head the posting lists; further classes of that id get numbers far below
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "s1", "s2")) > 1
     classes = saved(classes.withColumn("rep", F.when(again, -(1 << 62) - 1 - F.monotonically_increasing_id()).otherwise(F.col("doc_id"))))
 
     # 1. hash-ordered prefixes: copies let their class through, what stays is decided by other classes in the next step
-    tokens = members.select("n", "s1", "s2", F.explode("prefix").alias("h"))
+    tokens = rows.select("doc_id", F.explode("prefix").alias("h"))
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-    counts = members.select("doc_id", "n", "s1", "s2", F.explode("prefix").alias("h"))
-    counts = counts.join(shared, "h").groupBy("doc_id", "n", "s1", "s2").agg(F.count("*").alias("c"))  # equal rows only add up
+    counts = tokens.join(shared, "h").groupBy("doc_id").agg(F.count("*").alias("c"))  # rows that share an id only add up
     least = F.greatest(F.lit(1), F.floor(SHARE * _need(F.col("n"), percent)))
-    left = saved(counts.where(F.col("c") >= least).join(classes, ["doc_id", "n", "s1", "s2"]).select("rep", "doc_id", "n", "s1", "s2"))
+    left = saved(counts.join(classes, "doc_id").where(F.col("c") >= least).select("rep", "doc_id", "n", "s1", "s2"))
+    forget(rows)
 
     # 2. frequencies among the classes left, rarest-first prefixes
     sets = saved(whole_sets(documents, left, words))

@@ -1,4 +1,6 @@
+import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -88,3 +90,21 @@ def test_hashes_do_not_depend_on_the_batch():
     alone = [shingle_sets([x])[0].tolist() for x in t]
     assert [s.tolist() for s in shingle_sets(t)] == alone
     assert [len(s) for s in alone] == [2, 1, 0, 0, 1]
+
+
+def test_disk_is_given_back(spark, rows, monkeypatch):
+    """Neither the shuffle files of steps that are done nor the prefixes stay until the result is read."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    made, real = [], op.saved
+    monkeypatch.setattr(op, "saved", lambda x: (made.append(real(x)), made[-1])[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = files()
+    out = op.join_components(df)
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    held = [x for x in made if "prefix" in x.columns]
+    assert held and not any(os.path.exists(f.removeprefix("file:")) for x in held for f in x.inputFiles())
+    assert out.count() == len(rows)
