@@ -114,3 +114,30 @@ def test_pieces_of_a_leaf_by_place(spark):
         t = samplets.basis(m, 2, 0, near=near).where("kind = 's'").toPandas()
         spread[near] = np.mean([np.ptp(p[g["id"]], axis=0).max() for _, g in t.groupby("k")])
     assert spread[True] < spread[False] / 2
+
+
+@pytest.mark.parametrize("level,cell,threshold", [(2, 1024, 0.0), (2, 15, 0.0), (0, 30, 0.0), (0, 1000, 0.0), (3, 10, 0.03)])
+def test_compressed_kernel_by_cells(spark, level, cell, threshold):
+    from scatterspark.functions.kernels import CovarianceKernel
+    from scatterspark.operators import orders
+
+    p, m = members(spark, 200, level, 2)
+    kernel, met = CovarianceKernel("exponential", 0.5), spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def matrix(self, a, b):
+            met.add(len(a) * len(b))
+            return kernel.matrix(a, b)
+
+    t = samplets.basis(m, 2, 1)
+    rows = t.join(orders.coefficient_numbers(t), ["node", "k", "kind"]).toPandas()
+    dense = np.zeros((200, 200))
+    dense[rows["i"], rows["id"]] = rows["v"]
+    want = dense @ kernel.matrix(p, p) @ dense.T
+    got = orders.compressed_kernel(m, Counted(), 2, 1, threshold, cell=cell).toPandas()
+    assert (got["i"] <= got["j"]).all() and not got.duplicated(["i", "j"]).any()
+    there = np.zeros((200, 200))
+    there[got["i"], got["j"]] = got["v"]
+    keep = np.triu((np.abs(want) > threshold) | np.eye(200, dtype=bool))
+    assert there == pytest.approx(np.where(keep, want, 0), abs=1e-11)
+    assert met.value <= 2.5 * 200 * 200  # twice for each pair of points; every pair of levels before
