@@ -141,3 +141,18 @@ def test_compressed_kernel_by_cells(spark, level, cell, threshold):
     keep = np.triu((np.abs(want) > threshold) | np.eye(200, dtype=bool))
     assert there == pytest.approx(np.where(keep, want, 0), abs=1e-11)
     assert met.value <= 2.5 * 200 * 200  # twice for each pair of points; every pair of levels before
+
+
+def test_sums_of_coefficient_points_are_taken_by_cluster(spark):
+    from pyspark.sql import functions as F
+
+    from scatterspark.operators import orders
+
+    _, m = members(spark, 200, 2, 2)
+    numbers = orders.coefficient_numbers(samplets.basis(m, 2, 0))
+    n, ids = F.count("*").alias("n"), F.sum("id").alias("ids")
+    want = orders.coefficient_points(numbers, m).groupBy("i").agg(n, ids)
+    got = orders.coefficient_points(numbers, m, n, ids)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("count(1)")  # summed below the join: 200 clusters' points a row before
