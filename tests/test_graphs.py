@@ -54,3 +54,36 @@ def test_scaling_of_points_without_their_distances(spark):
     want, none = graphs.mds(d, 3)
     assert ids == [7 * i for i in range(150)] and abs(lost) < 1e-10 and abs(none) < 1e-10
     assert y == pytest.approx(want, abs=1e-9)
+
+
+def test_landmarks_by_held_distances(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (90, 2)).tolist() if a != b}
+    half = [(10 * a, 10 * b, float(rng.integers(0, 5)) / 4) for a, b in sorted(pairs)] + [(1001, 1002, 1.0)]  # ties, zeros, components
+    e = spark.createDataFrame(half + [(b, a, w) for a, b, w in half], "src long, dst long, w double")
+    n, first = graphs.counts(e).first()["nodes"], half[0][0]
+    jobs = []
+
+    def rounds(edges, sources, *rest, real=graphs.distances):
+        jobs.append(sources)
+        return real(edges, sources, *rest)
+
+    monkeypatch.setattr(graphs, "distances", rounds)
+    held = graphs.landmark_distances(e, 4, first)
+    got = {r.node: r.x for r in graphs.landmark_isomap(e, 4, 2, first, held).collect()}
+    assert graphs.landmarks(e, 4, first) == held[0] and not jobs  # a shuffle or more for each round before
+    monkeypatch.setattr(graphs, "HELD", 0)
+    want = {r.node: r.x for r in graphs.landmark_isomap(e, 4, 2, first).collect()}
+    assert graphs.landmarks(e, 4, first) == held[0] and jobs and len(got) == n
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    for s, row in zip(held[0], held[2]):
+        known = {r.node: r.dist for r in graphs.distances(e, [s]).collect()}
+        assert {int(k): d for k, d in zip(held[1], row) if np.isfinite(d)} == known
+
+
+def test_distortion_in_tasks(spark):
+    x, y = np.random.default_rng(1).random((2, 130, 3))
+    d = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    assert graphs.distortion(spark, x, y, 50) == pytest.approx(np.abs(d(x) - d(y)).max())
+    ids, z, lost = graphs.mds_of_points(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, p array<double>"), 5)
+    assert z.shape == (5, 130) and graphs.distortion(spark, x, z.T, 50) < 1e-12 and abs(lost) < 1e-12
