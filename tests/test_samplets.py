@@ -156,3 +156,54 @@ def test_sums_of_coefficient_points_are_taken_by_cluster(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 200
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("count(1)")  # summed below the join: 200 clusters' points a row before
+
+
+@pytest.mark.parametrize("level,subtree,q", [(0, 1000, 0), (3, 1000, 1), (2, 60, 1)])
+def test_matrix_by_places(spark, level, subtree, q):
+    from scatterspark.operators import orders
+
+    p, m = members(spark, 400, level, 2)
+    p[:150] = p[0]  # a place of many points
+    m = spark.createDataFrame([(r.id, p[r.id].tolist(), r.path, r.level) for r in m.collect()], m.schema)
+    t = samplets.basis(m, 2, q, subtree, near=True)
+    own, of = orders.places(m)
+    coarse, fine = orders.transform_by_places(t, of, own)
+    place = of.toPandas().set_index("id")["place"]
+    for _, g in t.where("kind = 's'").toPandas().groupby(["node", "k"]):  # pieces of a leaf went across places before
+        on = g.groupby(place[g["id"]].to_numpy())["v"]
+        inside = g["node"].iloc[0] >= 1 << level and level == 0 or subtree == 1000
+        assert not inside or (len(on) == 1 and abs(on.sum().iloc[0]) < 1e-12) or on.agg(np.ptp).max() < 1e-12
+    if subtree != 1000:
+        return
+    sizes = own.toPandas().set_index("id")
+    z, n = np.array(sizes["p"].tolist()), len(sizes)
+    value = np.exp(-np.abs(z[:, None] - z[None]).sum(-1))
+    value[value < 0.6] = 0
+    scale = np.sqrt(np.outer(sizes["m"], sizes["m"]))
+    x, y = np.nonzero(value + np.eye(n))
+    ids = sizes.index.to_numpy()
+    a = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(value[i, j] * scale[i, j] + 1.5 * (i == j))) for i, j in zip(x, y)], "i long, j long, v double")
+    b = orders.transform_matrix(coarse, a, own).toPandas()
+    numbers = orders.fine_numbers(fine, 1.5)
+    assert numbers.count() + n == 400
+    at = np.searchsorted(ids, place.sort_index())
+    whole = value[at][:, at] + 1.5 * np.eye(400)
+    diagonal = numbers.toPandas()["v"]
+    assert (b["v"] ** 2).sum() + (diagonal**2).sum() == pytest.approx((whole**2).sum())
+    assert b[b["i"] == b["j"]]["v"].sum() + diagonal.sum() == pytest.approx(np.trace(whole))
+    rest = a.where("i = j").join(own.withColumnRenamed("id", "i"), "i").selectExpr("i as place", "m", "v", "1.0D as w")
+    assert orders.errors_on_places(fine, numbers, rest, 1.5, 500).toPandas()["off"].max() < 1e-11
+    wrong = numbers.selectExpr("place", "c", "v * 1.01 as v")
+    assert orders.errors_on_places(fine, wrong, rest, 1.5, 500).toPandas()["off"].max() > 1e-3
+
+
+def test_matrix_query_spells_out_no_pairs_of_points(spark, monkeypatch):
+    from scatterspark.operators import neighbours
+    from scatterspark.plans.catalog import QUERIES
+
+    def spelled(*args):
+        raise AssertionError("all pairs of points")
+
+    monkeypatch.setattr(neighbours, "sym_eps_nn", spelled)
+    row = QUERIES["samplet_transform_of_matrix"](spark, "/root/testdata/sf0.001").first()
+    assert row["trace"] == 400.0 and row["off"] == 0.0
